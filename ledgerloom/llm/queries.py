@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, sharding, simhash
+from . import decontaminate, mixing, quality, sharding, simhash, toxicity
 from .common import table
 
 
@@ -13,6 +13,10 @@ def op2_mix_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
 def op4_flow_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.sharded(table(spark, sf_dir, "documents"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), F.col("old").alias("old_shard"))
@@ -27,8 +31,12 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op10_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).withColumnRenamed("d", "difference")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_mix_weights, op4_flow_sharding, op8_decontaminate, op9_simhash)}
+    return {f.__name__: f for f in (op2_mix_weights, op3_toxicity, op4_flow_sharding, op8_decontaminate, op9_simhash, op10_compression_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
