@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, quality, sharding, simhash, toxicity
+from . import decontaminate, licences, mixing, quality, sharding, simhash, subspace, toxicity
 from .common import table
 
 
+def op1_subspace_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subspace.grouped(table(spark, sf_dir, "embeddings"))
+
+
 def op2_mix_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
@@ -22,6 +26,10 @@ def op4_flow_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), F.col("old").alias("old_shard"))
 
 
+def op7_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.report(licences.scanned(table(spark, sf_dir, "documents")))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -36,7 +44,7 @@ def op10_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_mix_weights, op3_toxicity, op4_flow_sharding, op8_decontaminate, op9_simhash, op10_compression_quality)}
+    return {f.__name__: f for f in (op1_subspace_join, op2_mix_weights, op3_toxicity, op4_flow_sharding, op7_licence_scan, op8_decontaminate, op9_simhash, op10_compression_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
