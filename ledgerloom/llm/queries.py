@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licences, mixing, quality, sharding, simhash, subspace, toxicity
+from . import decontaminate, licences, mixing, preferences, quality, sharding, simhash, subspace, token_spans, toxicity
 from .common import table
 
 
@@ -26,6 +26,17 @@ def op4_flow_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), F.col("old").alias("old_shard"))
 
 
+def op5_token_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every line of every document; a token over a line's end belongs to the line it starts in."""
+    return token_spans.counted(table(spark, sf_dir, "documents"), rule="start")
+
+
+def op6_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations 2k and 2k + 1 are the chosen and the rejected one of pair k."""
+    turns = table(spark, sf_dir, "conversations")
+    return preferences.segments(turns, F.floor(F.col("conv_id") / 2), F.pmod("conv_id", F.lit(2)) == 0)
+
+
 def op7_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.report(licences.scanned(table(spark, sf_dir, "documents")))
 
@@ -44,8 +55,29 @@ def op10_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_subspace_join, op2_mix_weights, op3_toxicity, op4_flow_sharding, op7_licence_scan, op8_decontaminate, op9_simhash, op10_compression_quality)}
+    return {f.__name__: f for f in (op1_subspace_join, op2_mix_weights, op3_toxicity, op4_flow_sharding, op5_token_spans, op6_preference_pairs, op7_licence_scan, op8_decontaminate, op9_simhash, op10_compression_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_preference_pairs": OP6_SQL}
+
+
+OP6_SQL = """
+with t as (
+  select conv_id // 2 as pair_id, conv_id % 2 as side, turn, role, text,
+    row_number() over (partition by conv_id order by turn) - 1 as position
+  from (select distinct conv_id, turn, role, text from conversations)
+), d as (
+  select coalesce(a.pair_id, b.pair_id) as pair_id, min(coalesce(a.position, b.position)) as shared
+  from (select * from t where side = 0) a full join (select * from t where side = 1) b
+    on a.pair_id = b.pair_id and a.position = b.position
+  where a.pair_id is null or b.pair_id is null or a.role is distinct from b.role or a.text is distinct from b.text
+  group by 1
+), p as (
+  select t.*, (shared is null or position < shared) as is_prompt from t left join d using (pair_id)
+)
+select pair_id, case when is_prompt then 'prompt' when side = 0 then 'chosen' else 'rejected' end as part, position, turn, role,
+  '<|' || coalesce(role, '') || '|>' || chr(10) || coalesce(text, '') || '<|end|>' || chr(10) as segment,
+  (not is_prompt and role is not distinct from 'assistant') as loss
+from p where not (is_prompt and side = 1)
+"""
