@@ -1,0 +1,6 @@
+"""All named queries of the engine."""
+
+from . import pattern_queries
+from .registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL", "pattern_queries"]
