@@ -1,6 +1,6 @@
 """All named queries of the engine."""
 
-from . import pattern_queries
+from . import pattern_queries, rollup_queries
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "pattern_queries"]
+__all__ = ["QUERIES", "SQL", "pattern_queries", "rollup_queries"]
