@@ -1,6 +1,6 @@
 """All named queries of the engine."""
 
-from . import pattern_queries, rollup_queries
+from . import join_queries, pattern_queries, rollup_queries
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "pattern_queries", "rollup_queries"]
+__all__ = ["QUERIES", "SQL", "join_queries", "pattern_queries", "rollup_queries"]
