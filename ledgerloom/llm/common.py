@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import io
-import os
-import tempfile
 import uuid
-import zipfile
-from pathlib import Path
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql import types as T
+
+from ..shipping import shipped
 
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
 
@@ -33,25 +33,37 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def shipped(spark: SparkSession) -> None:
-    """Make this package importable in Python workers, once per context, unless their path has it already."""
-    root, sc = Path(__file__).resolve().parents[2], spark.sparkContext
-    if str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(sc, "_ledgerloom_shipped", False):
-        return
-    packed = io.BytesIO()
-    with zipfile.ZipFile(packed, "w") as z:
-        for p in [root / "ledgerloom/__init__.py", *sorted((root / "ledgerloom/llm").glob("*.py"))]:
-            z.write(p, p.relative_to(root))
-    path = Path(tempfile.mkdtemp()) / f"ledgerloom-{uuid.uuid4().hex[:8]}.zip"  # read by the driver alone, which serves it
-    path.write_bytes(packed.getvalue())
-    sc.addPyFile(str(path))
-    sc._ledgerloom_shipped = True
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def kept_columns(df: DataFrame, keep: tuple[str, ...] | list[str]) -> list[Column]:
+    """Columns carried through under names of our own, so extra columns can't clash with an operator's."""
+    return [F.col(f"`{c}`").alias(f"_keep_{i}") for i, c in enumerate(keep)]
+
+
+def restored(df: DataFrame, keep: tuple[str, ...] | list[str]) -> DataFrame:
+    return df.select(*(F.col(f"_keep_{i}").alias(c) for i, c in enumerate(keep)))
+
+
+def mapped(df: DataFrame, text: str, added: T.StructType, made: Callable[[], Callable[[list], list[pa.Array]]]) -> DataFrame:
+    """``df`` without its text column, with columns made from it; the other columns pass through untouched as Arrow.
+
+    ``made`` is called once a task and returns a function from a batch's texts to the arrays of ``added``.
+    """
+    shipped(df.sparkSession)
+    schema = T.StructType([f for f in df.schema.fields if f.name != text] + added.fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = made()
+        for b in batches:
+            at = b.schema.get_field_index(text)
+            columns = [b.column(i) for i in range(b.num_columns) if i != at]
+            yield pa.RecordBatch.from_arrays(columns + f(b.column(at).to_pylist()), names=schema.names)
+
+    return df.mapInArrow(run, schema)
+
+
 def own(df: DataFrame, **columns: str | Column) -> DataFrame:
     """Only the columns an operator works on, under names of its own, so extra columns can't clash."""
     return df.select(*(F.col(c).alias(n) if isinstance(c, str) else c.alias(n) for n, c in columns.items()))

@@ -21,13 +21,13 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_right
-from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import checkpointed, own, shipped
+from .common import checkpointed, kept_columns, mapped, own, restored
 
 WINDOW = 10
 BLOCK_CHARS = 4_000_000
@@ -131,37 +131,40 @@ def spans(text: str, ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def contamination(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = WINDOW, keep: tuple[str, ...] = (), with_spans: bool = False) -> DataFrame:
     """One row per document: doc_id, the columns in ``keep`` as _keep_0, _keep_1 and so on, n_words, ranges of hit words, items, byte spans."""
     spark = documents.sparkSession
-    shipped(spark)
     blocks = patterns(benchmark, item_id, item_text, size)
-    out = documents.select(
-        F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"), *(F.col(f"`{c}`").alias(f"_keep_{i}") for i, c in enumerate(keep)),
-        F.lit(0).cast("long").alias("n_words"),
-        F.expr("cast(array() as array<struct<a:int,b:int>>)").alias("hits"), F.expr("cast(array() as array<string>)").alias("items"),
-        F.expr("cast(array() as array<struct<a:int,b:int>>)").alias("spans"),
-    )
-    schema = out.schema
+    out = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"), *kept_columns(documents, keep))
+    ranges = T.ArrayType(T.StructType([T.StructField("a", T.IntegerType()), T.StructField("b", T.IntegerType())]))
+    arrow = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
     for k, block in enumerate(blocks):
-        sent, key, last = spark.sparkContext.broadcast(block), uuid_of(block), k == len(blocks) - 1
+        sent, key = spark.sparkContext.broadcast(block), uuid_of(block)
+        names = [f"_n{k}", f"_h{k}", f"_i{k}", f"_s{k}"]
+        added = T.StructType([T.StructField(n, t) for n, t in zip(names, (T.LongType(), ranges, T.ArrayType(T.StringType()), ranges), strict=True)])
 
-        def run(batches: Iterator[pd.DataFrame], sent=sent, key=key, last=last) -> Iterator[pd.DataFrame]:
+        def made(sent=sent, key=key):
             built = automaton(key, sent.value)
-            for pdf in batches:
-                n, hits, items, where = [], [], [], []
-                for text_, before, names in zip(pdf["_text"], pdf["hits"], pdf["items"], strict=True):
-                    text_ = text_ if isinstance(text_, str) else None
-                    count, ranges, more = scan(text_, built)
-                    if len(before):
-                        ranges = merged([*ranges, *((x["a"], x["b"]) for x in before)])
-                    n.append(count)
-                    hits.append([{"a": a, "b": b} for a, b in ranges])
-                    items.append(sorted({*names, *more}))
-                    where.append([{"a": a, "b": b} for a, b in spans(text_, ranges)] if last and with_spans and ranges else [])
-                yield pdf.assign(n_words=n, hits=hits, items=items, spans=where)
-
-        out = out.mapInPandas(run, schema)
-        if not last:
+
+            def scanned(texts: list) -> list[pa.Array]:
+                rows = [scan(t, built) for t in texts]
+                where = [spans(t, r[1]) if with_spans and r[1] else [] for t, r in zip(texts, rows, strict=True)]
+                pairs = lambda lists: pa.array([[{"a": a, "b": b} for a, b in x] for x in lists], arrow)
+                return [pa.array([r[0] for r in rows], pa.int64()), pairs([r[1] for r in rows]), pa.array([sorted(r[2]) for r in rows], pa.list_(pa.string())), pairs(where)]
+
+            return scanned
+
+        out = mapped(out.withColumn("_t", F.col("_text")) if k < len(blocks) - 1 else out.withColumnRenamed("_text", "_t"), "_t", added, made)
+        if k < len(blocks) - 1:
             out = checkpointed(out)
-    return out.drop("_text")
+    n = range(len(blocks))
+    if len(blocks) == 1:
+        return out.withColumnsRenamed({"_n0": "n_words", "_h0": "hits", "_i0": "items", "_s0": "spans"})
+    union = lambda c: F.expr(MERGE.format(f"array_sort(flatten(array({', '.join(f'_{c}{k}' for k in n)})))"))
+    out = out.withColumns({"n_words": F.col("_n0"), "hits": union("h"), "items": F.array_sort(F.array_distinct(F.flatten(F.array(*(F.col(f"_i{k}") for k in n))))), "spans": union("s")})
+    return out.drop(*(f"_{c}{k}" for c in "nhis" for k in n))
+
+
+#: Sorted ranges with those that overlap or touch joined.
+MERGE = """aggregate({}, cast(array() as array<struct<a:int,b:int>>), (s, x) -> if(size(s) > 0 and x.a <= element_at(s, -1).b + 1,
+ concat(slice(s, 1, size(s) - 1), array(named_struct('a', element_at(s, -1).a, 'b', greatest(element_at(s, -1).b, x.b)))), concat(s, array(x))))"""
 
 
 def uuid_of(block: dict[str, tuple]) -> str:
@@ -183,4 +186,4 @@ def report(found: DataFrame) -> DataFrame:
 def decontaminate(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents without those in which a window occurs, with their own columns."""
     found = contamination(documents, benchmark, doc_id, text, keep=tuple(documents.columns))
-    return found.where(F.size("hits") == 0).select(*(F.col(f"_keep_{i}").alias(c) for i, c in enumerate(documents.columns)))
+    return restored(found.where(F.size("hits") == 0), documents.columns)

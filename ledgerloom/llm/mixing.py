@@ -84,7 +84,7 @@ def cuts(d: DataFrame, weights: tuple[float, ...], repeats: int, share: float) -
     inside = d.join(at, F.col("source").eqNullSafe(F.col("_s")) & (F.col("piece") == F.col("cut_piece")))
     line = W.partitionBy("_s").orderBy("h", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
     inside = inside.withColumn("middle", F.col("before") + F.sum("size").over(line) - F.col("size") / 2.0)
-    key = F.max(F.when(F.col("middle") <= F.col("left"), F.struct("h", "doc_id", "size"))).alias("cut_key")
+    key = F.max(F.when(F.col("middle") < F.col("left"), F.struct("h", "doc_id", "size"))).alias("cut_key")
     found = inside.groupBy(F.col("_s")).agg(F.first("cut_piece").alias("cut_piece"), key)
     out = goal.join(found, F.col("_source").eqNullSafe(F.col("_s")), "left").select("_source", "source_size", "target", "rounds", "left", "cut_piece", "cut_key")
     return checkpointed(out), pieces

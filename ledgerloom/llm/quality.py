@@ -22,11 +22,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import shipped
-from .labelled import fold, logistic, sample, squashed
+from ..shipping import shipped
+from .common import mapped
+from .labelled import fold, logistic, sample
 
 MOST = 3000
 PIECE = 2048
@@ -99,13 +102,11 @@ def differences(rows: DataFrame, model: dict) -> DataFrame:
     """The columns of ``rows`` without text, and d; ``rows`` has a column text."""
     sent = rows.sparkSession.sparkContext.broadcast((model["good"], model["bad"]))  # two dictionaries of bounded size
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def made():
         both = Compressors(*sent.value)
-        for pdf in batches:
-            d = np.fromiter((both.difference(t if isinstance(t, str) else None) for t in pdf["text"]), float, len(pdf))
-            yield pdf.drop(columns="text").assign(d=d)
+        return lambda texts: [pa.array([both.difference(t) for t in texts], pa.float64())]
 
-    return rows.mapInPandas(run, rows.drop("text").withColumn("d", F.lit(0.0)).schema)
+    return mapped(rows, "text", T.StructType([T.StructField("d", T.DoubleType())]), made)
 
 
 def scored(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: int = FOLDS, held: int = HELD, most: int = MOST) -> DataFrame:
@@ -120,5 +121,3 @@ def scored(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text
         score.alias("score"), (score >= 0.5).cast("int").alias("predicted"), "d",
     )
 
-
-__all__ = ["scored", "fit", "differences", "Compressors", "dictionary", "pieces", "squashed"]

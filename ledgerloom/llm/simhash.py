@@ -21,15 +21,15 @@ rows get equal results; a null doc_id gets the smallest doc_id of its component,
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import checkpointed, components, own, shipped
+from .common import checkpointed, components, kept_columns, mapped, own
 
 SHINGLE = 3
 RADIUS = 2
@@ -66,14 +66,16 @@ def fingerprint(text: str | None, size: int = SHINGLE) -> int:
 def fingerprints(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE) -> DataFrame:
     """doc_id and fp, the fingerprint as a signed long."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            fps = np.array([fingerprint(t if isinstance(t, str) else None, size) for t in pdf["text"]], np.uint64)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "fp": fps.view(np.int64)})
+    return _with_fp(own(documents, doc_id=doc_id, text=text), size)
 
-    shipped(documents.sparkSession)
-    rows = own(documents, doc_id=doc_id, text=text)
-    return rows.mapInPandas(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long")
+
+def _with_fp(rows: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """``rows`` with fp instead of text."""
+
+    def made():
+        return lambda texts: [pa.array(np.array([fingerprint(t, size) for t in texts], np.uint64).view(np.int64))]
+
+    return mapped(rows, "text", T.StructType([T.StructField("fp", T.LongType())]), made)
 
 
 def _pair(fp: str, k: int) -> str:
@@ -110,9 +112,10 @@ def links(index: DataFrame, radius: int = RADIUS, long: int = LONG) -> DataFrame
     probed = (
         marked.where("long").select("fp", F.explode(F.expr(f"case p & 7L {' '.join(probes)} end")).alias("m"))
         .select(F.col("fp").alias("u"), F.expr("fp ^ m").alias("v")).where("u < v")
-        .join(index.select(F.col("fp").alias("v")), "v", "left_semi").select("u", "v").distinct()
+        .join(index.select(F.col("fp").alias("v")), "v", "left_semi").select("u", "v")
     )
-    return pairs.union(probed)
+    # a pair may share a short posting and a long one
+    return pairs.union(probed).distinct()
 
 
 def groups(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
@@ -137,21 +140,13 @@ def deduplicated(documents: DataFrame, doc_id: str = "doc_id", text: str = "text
     kept = rooted.groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min(F.struct("least", "fp")).alias("k")).select("k.least.doc_id", "k.fp")
     often = fps.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     kept = checkpointed(
-        kept.withColumnRenamed("doc_id", "id").join(often, F.col("id").eqNullSafe(F.col("doc_id"))).select("id", "fp", (F.col("n") > 1).alias("again"))
+        kept.withColumnRenamed("doc_id", "_id").join(often, F.col("_id").eqNullSafe(F.col("doc_id"))).select("_id", F.col("fp").alias("_fp"), (F.col("n") > 1).alias("_again"))
     )
-    same = documents[doc_id].eqNullSafe(F.col("id"))
-    single = documents.join(kept.where("not again").select("id"), same, "left_semi")
-    shared = documents.join(kept.where("again").select("id").distinct(), same, "left_semi")
-    keep = [F.col(f"`{c}`").alias(f"_keep_{i}") for i, c in enumerate(documents.columns)]
-    repeated = shared.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *keep)
-    names = [c for c in repeated.columns if c.startswith("_keep_")]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            fps = np.array([fingerprint(t if isinstance(t, str) else None) for t in pdf["text"]], np.uint64)
-            yield pdf.drop(columns="text").assign(fp=fps.view(np.int64))
-
-    schema = repeated.drop("text").withColumn("fp", F.lit(0).cast("long")).schema
-    again = repeated.mapInPandas(run, schema).join(kept.where("again").withColumnRenamed("fp", "kept_fp"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("fp") == F.col("kept_fp")))
+    same = documents[doc_id].eqNullSafe(F.col("_id"))
+    single = documents.join(kept.where("not _again").select("_id"), same, "left_semi")
+    shared = documents.join(kept.where("_again").select("_id").distinct(), same, "left_semi")
+    rows = _with_fp(shared.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *kept_columns(documents, documents.columns)))
+    names = [f"_keep_{i}" for i in range(len(documents.columns))]
+    again = rows.join(kept.where("_again"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("fp") == F.col("_fp")))
     again = again.groupBy("doc_id", "fp").agg(F.min(F.struct(*names)).alias("row"))
     return single.union(again.select(*(F.col(f"row.{n}").alias(c) for n, c in zip(names, documents.columns, strict=True))))

@@ -22,14 +22,14 @@ no rows.
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import shipped
+from .common import mapped
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Splits text before the merges; fixed by the vocabulary.
@@ -125,39 +125,37 @@ def counted(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", se
     are the sections. Tokens of no section, if any, are section -1, of null bounds.
     """
     spark = documents.sparkSession
-    shipped(spark)
     with open(vocabulary, "rb") as f:
         sent = spark.sparkContext.broadcast(f.read())
     key = vocabulary
-    rows = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *([F.col(sections).alias("sections")] if sections else []))
+    given = F.struct(F.col(text).alias("text"), F.col(sections).alias("sections")) if sections else F.struct(F.col(text).alias("text"))
+    rows = documents.select(F.col(doc_id).alias("doc_id"), given.alias("in"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def made():
         enc = encoder(key, sent.value)
-        for pdf in batches:
-            ids, parts, spans, sums = [], [], [], []
-            for n, (i, t) in enumerate(zip(pdf["doc_id"], pdf["text"], strict=True)):
-                t = t if isinstance(t, str) else ""
-                if sections:
-                    given = pdf["sections"].iloc[n]
-                    at = np.array([(x["start"], x["end"]) for x in (given if given is not None else [])], np.int64).reshape(-1, 2)
-                    at = np.clip(at, 0, len(t))
-                else:
-                    at = line_sections(t)
-                raw = t.encode("utf-8", "surrogatepass")
-                where = char_bytes(raw)
+
+        def tokens(inputs: list) -> list[pa.Array]:
+            sizes, columns = [0], [[], [], [], []]
+            for x in inputs:
+                t = x["text"] or ""
+                at = np.array([(s["start"], s["end"]) for s in x["sections"] or []], np.int64).reshape(-1, 2).clip(0, len(t)) if sections else line_sections(t)
+                where = char_bytes(t.encode("utf-8", "surrogatepass"))
                 first, last = (at[:, 0], at[:, 1]) if where is None else (where[at[:, 0]], where[at[:, 1]])
-                tokens, none = attributed(enc.ends(t), first, last, rule)
+                n, none = attributed(enc.ends(t), first, last, rule)
                 own = np.arange(len(at))
                 if none:
-                    at, tokens, own = np.concatenate((at, [[-1, -1]])), np.append(tokens, none), np.append(own, -1)
-                ids += [i] * len(own)
-                parts.append(own)
-                spans.append(at)
-                sums.append(tokens)
-            at = np.concatenate(spans) if spans else np.zeros((0, 2), np.int64)
-            yield pd.DataFrame({"doc_id": pd.Series(ids, dtype=pdf["doc_id"].dtype), "section": np.concatenate(parts) if parts else [], "start_char": at[:, 0], "end_char": at[:, 1], "n_tokens": np.concatenate(sums) if sums else []})
-
-    out = rows.mapInPandas(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, section int, start_char long, end_char long, n_tokens double")
-    blank = F.col("section") < 0
-    out = out.withColumn("start_char", F.when(~blank, F.col("start_char"))).withColumn("end_char", F.when(~blank, F.col("end_char")))
+                    at, n, own = np.concatenate((at, [[-1, -1]])), np.append(n, none), np.append(own, -1)
+                sizes.append(len(own))
+                for c, v in zip(columns, (own, at[:, 0], at[:, 1], n), strict=True):
+                    c.append(v)
+            joined = [np.concatenate(c) if c else np.zeros(0) for c in columns]
+            parts = pa.StructArray.from_arrays([pa.array(v.astype(k)) for v, k in zip(joined, (np.int32, np.int64, np.int64, np.float64), strict=True)], names=["section", "start_char", "end_char", "n_tokens"])
+            return [pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), parts)]
+
+        return tokens
+
+    fields = T.StructType([T.StructField("section", T.IntegerType()), T.StructField("start_char", T.LongType()), T.StructField("end_char", T.LongType()), T.StructField("n_tokens", T.DoubleType())])
+    out = mapped(rows, "in", T.StructType([T.StructField("parts", T.ArrayType(fields))]), made).select("doc_id", F.inline("parts"))
+    there = F.col("section") >= 0
+    out = out.withColumn("start_char", F.when(there, F.col("start_char"))).withColumn("end_char", F.when(there, F.col("end_char")))
     return out if rule == "split" else out.withColumn("n_tokens", F.col("n_tokens").cast("long"))

@@ -28,10 +28,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import shipped
+from ..shipping import shipped
+from .common import kept_columns, mapped, restored
 from .decontaminate import words
 from .labelled import fold, logistic, sample, squashed
 
@@ -218,20 +221,26 @@ def scored(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text
     index = fit(own, labels, folds=folds, held=held, most=most)
     sent = documents.sparkSession.sparkContext.broadcast(index)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def made():
         index = sent.value
-        for pdf in batches:
+
+        def voted(texts: list) -> list[pa.Array]:
             votes, shown = [], []
-            for t in pdf["_text"]:
-                rows, cosines = index.nearest(*index.vector(index.counts(t if isinstance(t, str) else None)))
+            for t in texts:
+                rows, cosines = index.nearest(*index.vector(index.counts(t)))
                 votes.append(index.vote(rows, cosines))
                 shown.append([{"doc_id": int(index.ids[r]), "cosine": float(c), "label": int(index.y[r])} for r, c in zip(rows[:3], cosines[:3], strict=True)])
-            yield pdf.drop(columns="_text").assign(score=squashed(logit(votes), index.slope, index.offset), evidence=shown)
+            return [pa.array(squashed(logit(votes), index.slope, index.offset), pa.float64()), pa.array(shown, EVIDENCE_ARROW)]
+
+        return voted
+
+    rows = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"), *kept_columns(documents, keep))
+    return mapped(rows, "_text", T.StructType([T.StructField("score", T.DoubleType()), T.StructField("evidence", EVIDENCE)]), made)
+
 
-    names = [F.col(f"`{c}`").alias(f"_keep_{i}") for i, c in enumerate(keep)]
-    out = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"), *names)
-    schema = out.drop("_text").withColumn("score", F.lit(0.0)).withColumn("evidence", F.expr("cast(array() as array<struct<doc_id:long,cosine:double,label:int>>)")).schema
-    return out.mapInPandas(run, schema)
+#: The nearest examples shown with a score.
+EVIDENCE = T.ArrayType(T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("cosine", T.DoubleType()), T.StructField("label", T.IntegerType())]))
+EVIDENCE_ARROW = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())]))
 
 
 def report(found: DataFrame, folds: int = FOLDS, held: int = HELD) -> DataFrame:
@@ -244,4 +253,4 @@ def report(found: DataFrame, folds: int = FOLDS, held: int = HELD) -> DataFrame:
 def without_toxic(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents that score below one half, with their own columns."""
     found = scored(documents, labels, doc_id, text, keep=tuple(documents.columns)).where("score < 0.5")
-    return found.select(*(F.col(f"_keep_{i}").alias(c) for i, c in enumerate(documents.columns)))
+    return restored(found, documents.columns)
