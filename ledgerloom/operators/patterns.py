@@ -73,9 +73,9 @@ def burst_share(rows: DataFrame, entity: str, ts: str, seconds: int = 3600, at_l
 
 def concentration(rows: DataFrame, entity: str, other: str) -> DataFrame:
     """Share of the commonest counterparty among all rows of an entity, rows without a counterparty included."""
-    per = rows.groupBy(entity, other).agg(F.count(F.lit(1)).alias("c"))
-    return per.groupBy(entity).agg(F.sum("c").alias("n"), F.coalesce(F.max(F.when(F.col(other).isNotNull(), F.col("c"))), F.lit(0)).alias("top")).select(
-        entity, "n", (F.col("top") / F.col("n")).alias("concentration")
+    per = rows.groupBy(entity, other).agg(F.count(F.lit(1)).alias("_n"))
+    return per.groupBy(entity).agg(F.sum("_n").alias("n"), F.coalesce(F.max(F.when(F.col(other).isNotNull(), F.col("_n"))), F.lit(0)).alias("_top")).select(
+        entity, "n", (F.col("_top") / F.col("n")).alias("concentration")
     )
 
 
