@@ -59,7 +59,38 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_preference_pairs": OP6_SQL}
+    return {"op1_subspace_join": OP1_SQL, "op6_preference_pairs": OP6_SQL, "op8_decontaminate": OP8_SQL}
+
+
+#: All pairs at double precision, and the components by spreading the smallest id.
+OP1_SQL = """
+with recursive v as (
+  select vec_id, cast(embedding as double[]) as e from embeddings
+  where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links as (
+  select a.vec_id as a, b.vec_id as b from v a join v b on a.vec_id <> b.vec_id and len(a.e) = len(b.e) where list_cosine_similarity(a.e, b.e) >= 0.9
+), reach(a, b) as (
+  select vec_id, vec_id from embeddings union select r.a, l.b from reach r join links l on r.b = l.a
+), least as (select a as vec_id, min(b) as component_id from reach group by 1)
+select e.vec_id, (select count(*) from links l where l.a = e.vec_id) as n_links, component_id, e.vec_id = component_id as kept from embeddings e join least using (vec_id)
+"""
+
+#: Windows of documents of every length that windows of items have, met by equality.
+OP8_SQL = """
+with iw as (
+  select item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from benchmark where text is not null
+), win as (
+  select distinct item_id, least(10, len(w)) as n, array_to_string(w[k : k + least(10, len(w)) - 1], ' ') as s from iw, unnest(range(1, greatest(2, len(w) - 8))) t(k) where len(w) > 0
+), d as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from documents
+), dw as (
+  select doc_id, n, k, array_to_string(w[k : k + n - 1], ' ') as s from d, (select distinct n from win) x, unnest(range(1, greatest(1, len(w) - n + 2))) t(k)
+), hit as (select distinct doc_id, dw.n, k, item_id from dw join win using (n, s)),
+words as (select doc_id, count(distinct p) as n_hit from hit, unnest(range(k, k + n)) t(p) group by 1),
+items as (select doc_id, count(distinct item_id) as n_items, string_agg(distinct cast(item_id as varchar), ',' order by cast(item_id as varchar)) as ids from hit group by 1)
+select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256, n_hit is not null as contaminated
+from d left join words using (doc_id) left join items using (doc_id)
+"""
 
 
 OP6_SQL = """
