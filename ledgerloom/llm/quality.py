@@ -1,8 +1,9 @@
 """Quality classifier (10): compression against two zstandard dictionaries.
 
 One dictionary is trained on good and one on bad labelled text. A document is compressed piece by piece
-with either; text like a dictionary's compresses better with it, so the normalised difference
-(bad - good) / (bad + good) of the compressed sizes rises with quality. A logistic fitted on
+with either; text like a dictionary's compresses better with it, so the difference of the compressed
+sizes, bad - good, divided by the size of the text, rises with quality. (Divided by the compressed
+sizes it would let repetitive junk through, which is small with either dictionary.) A logistic fitted on
 labelled documents that the dictionaries have not seen turns it into a score.
 
 Whole texts are compressed, in pieces of ``PIECE`` bytes, so a long text does not drown the
@@ -32,7 +33,7 @@ from .common import mapped
 from .labelled import fold, logistic, sample
 
 MOST = 3000
-PIECE = 2048
+PIECE = 1024
 DICTIONARY = 112_640
 LEVEL = 3
 FOLDS, HELD = 3, 1
@@ -67,11 +68,12 @@ class Compressors:
         self.good, self.bad = made(good), made(bad)
 
     def difference(self, text: str | None) -> float:
-        good = bad = 0
+        good = bad = size = 0
         for p in pieces(text):
             good += len(self.good.compress(p))
             bad += len(self.bad.compress(p))
-        return (bad - good) / (bad + good) if good else 0.0
+            size += len(p)
+        return (bad - good) / size if size else 0.0
 
 
 def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", folds: int = FOLDS, held: int = HELD, most: int = MOST) -> dict:
