@@ -82,8 +82,10 @@ def cuts(d: DataFrame, weights: tuple[float, ...], repeats: int, share: float) -
     at = totals.join(goal, same).where("before <= left and left < before + b").select(F.col("source").alias("_s"), F.col("piece").alias("cut_piece"), "before", "left")
     at = at.groupBy("_s").agg(F.min(F.struct("cut_piece", "before", "left")).alias("x")).select("_s", "x.*")
     inside = d.join(at, F.col("source").eqNullSafe(F.col("_s")) & (F.col("piece") == F.col("cut_piece")))
+    # repeated rows are one row of the line, however many they are
+    inside = inside.groupBy("_s", "cut_piece", "before", "left", "h", "doc_id", "size").agg((F.col("size") * F.count(F.lit(1))).alias("whole"))
     line = W.partitionBy("_s").orderBy("h", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
-    inside = inside.withColumn("middle", F.col("before") + F.sum("size").over(line) - F.col("size") / 2.0)
+    inside = inside.withColumn("middle", F.col("before") + F.sum("whole").over(line) - F.col("whole") / 2.0)
     key = F.max(F.when(F.col("middle") < F.col("left"), F.struct("h", "doc_id", "size"))).alias("cut_key")
     found = inside.groupBy(F.col("_s")).agg(F.first("cut_piece").alias("cut_piece"), key)
     out = goal.join(found, F.col("_source").eqNullSafe(F.col("_s")), "left").select("_source", "source_size", "target", "rounds", "left", "cut_piece", "cut_key")
