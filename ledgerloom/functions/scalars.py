@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 DROPS = "decimal(21,0)"
-#: Seconds from the Unix epoch to the ledger's.
+#: Seconds from the Unix epoch to the ledger's; fixed value.
 EPOCH = 946684800
 
 #: Transaction type and family; fixed values.
@@ -16,7 +16,12 @@ FAMILIES = {
     "nfts": ["NFTokenMint", "NFTokenBurn", "NFTokenCreateOffer", "NFTokenAcceptOffer", "NFTokenCancelOffer"],
     "accounts": ["TrustSet", "AccountSet", "SetRegularKey", "SignerListSet", "TicketCreate", "DepositPreauth", "Clawback", "AccountDelete"],
 }
-STABLES = ["USD", "RLUSD", "USDC", "USDT", "EUR", "GBP", "JPY"]
+#: Currencies that count as stable; fixed values.
+STABLES = ["RLUSD", "USD", "USDC", "USDT"]
+#: Accounts that nobody can sign for; fixed values.
+BLACKHOLES = ["rrrrrrrrrrrrrrrrrrrrrhoLvTp", "rrrrrrrrrrrrrrrrrrrrBZbvji", "rrrrrrrrrrrrrrrrrNAMEtxvNvQ"]
+#: Names that mark an exchange; fixed values.
+EXCHANGES = r"binance|coinbase|kraken|bitstamp|bitfinex|upbit|bithumb|bybit|okx|huobi|gate|mexc|bitso|kucoin|crypto\.com|gemini|bitrue|coinone|bitbank|coincheck"
 #: Account flags; fixed values.
 DISABLE_MASTER, GLOBAL_FREEZE, REQUIRE_AUTH = 0x00100000, 0x00400000, 0x00040000
 
@@ -130,7 +135,7 @@ def token_health(holders: Column, trustlines: Column, liquidity: Column) -> Colu
     return F.when((h >= 5000) | (q >= 250_000), "healthy").when((h >= 500) | (t >= 500) | (q >= 20_000), "moderate").when((h > 0) | (t > 0), "thin").otherwise("unknown")
 
 
-def blackholed(flags: Column, regular_key: Column, burned: list[str]) -> Column:
+def blackholed(flags: Column, regular_key: Column, burned: list[str] = BLACKHOLES) -> Column:
     """The master key is off and no regular key can sign."""
     return (flags.bitwiseAND(DISABLE_MASTER) != 0) & (regular_key.isNull() | regular_key.isin(burned))
 
@@ -155,8 +160,7 @@ def market_band(price: Column, change: Column) -> Column:
 def name_type(name: Column) -> Column:
     """RIPPLE, EXCH or HVT from a display name."""
     n = F.lower(F.coalesce(name, F.lit("")))
-    exchanges = r"binance|coinbase|kraken|bitstamp|bitfinex|upbit|bithumb|bybit|okx|huobi|gate|mexc|bitso|kucoin|crypto\.com|gemini|bitrue|coinone|bitbank|coincheck"
-    return F.when(F.contains(n, F.lit("ripple")), "RIPPLE").when(n.rlike(exchanges), "EXCH").otherwise("HVT")
+    return F.when(F.contains(n, F.lit("ripple")), "RIPPLE").when(n.rlike(EXCHANGES), "EXCH").otherwise("HVT")
 
 
 def compact(value: Column, decimals: int = 1) -> Column:

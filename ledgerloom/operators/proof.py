@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-#: The earliest ledger that any server still has.
+#: The earliest ledger that any server still has; fixed value.
 EARLIEST = 32570
 
 

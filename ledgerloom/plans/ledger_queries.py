@@ -320,7 +320,7 @@ def _(spark, d):
 def _(spark, d):
     k = F.col("c_custkey")
     key = F.when(k % 3 == 0, None).when(k % 5 == 0, "rBurned").otherwise("rOwn")
-    return table(spark, d, "customer").select(k.alias("k"), S.blackholed(F.when(k % 2 == 0, S.DISABLE_MASTER | 1).otherwise(1), key, ["rBurned"]).alias("black"))
+    return table(spark, d, "customer").select(k.alias("k"), S.blackholed(F.when(k % 2 == 0, S.DISABLE_MASTER | 1).otherwise(1), key).alias("black"))
 
 
 @query("f30_display_name", """
