@@ -319,7 +319,7 @@ def _(spark, d):
 @query("f29_blackholed", "select c_custkey as k, c_custkey % 2 = 0 and (c_custkey % 3 = 0 or c_custkey % 5 = 0) as black from customer", views=False)
 def _(spark, d):
     k = F.col("c_custkey")
-    key = F.when(k % 3 == 0, None).when(k % 5 == 0, "rBurned").otherwise("rOwn")
+    key = F.when(k % 3 == 0, None).when(k % 5 == 0, S.BLACKHOLES[0]).otherwise("rOwn")
     return table(spark, d, "customer").select(k.alias("k"), S.blackholed(F.when(k % 2 == 0, S.DISABLE_MASTER | 1).otherwise(1), key).alias("black"))
 
 
