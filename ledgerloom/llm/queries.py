@@ -34,7 +34,7 @@ def op5_token_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations 2k and 2k + 1 are the chosen and the rejected one of pair k."""
     turns = table(spark, sf_dir, "conversations")
-    return preferences.segments(turns, F.floor(F.col("conv_id") / 2), F.pmod("conv_id", F.lit(2)) == 0)
+    return preferences.segments(turns, F.shiftright("conv_id", 1), F.pmod("conv_id", F.lit(2)) == 0)
 
 
 def op7_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
