@@ -135,7 +135,11 @@ def deduplicated(documents: DataFrame, doc_id: str = "doc_id", text: str = "text
     """
     fps = checkpointed(fingerprints(documents, doc_id, text))
     index = checkpointed(fps.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("least")))
-    roots = components(links(index))
+    return one_each(documents, fps, index, components(links(index)), _with_fp, doc_id, text)
+
+
+def one_each(documents: DataFrame, fps: DataFrame, index: DataFrame, roots: DataFrame, with_fp, doc_id: str, text: str) -> DataFrame:
+    """``deduplicated`` for given fingerprints, their least documents and roots; ``with_fp`` puts fp in place of text."""
     rooted = index.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
     kept = rooted.groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min(F.struct("least", "fp")).alias("k")).select("k.least.doc_id", "k.fp")
     often = fps.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
@@ -145,7 +149,7 @@ def deduplicated(documents: DataFrame, doc_id: str = "doc_id", text: str = "text
     same = documents[doc_id].eqNullSafe(F.col("_id"))
     single = documents.join(kept.where("not _again").select("_id"), same, "left_semi")
     shared = documents.join(kept.where("_again").select("_id").distinct(), same, "left_semi")
-    rows = _with_fp(shared.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *kept_columns(documents, documents.columns)))
+    rows = with_fp(shared.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *kept_columns(documents, documents.columns)))
     names = [f"_keep_{i}" for i in range(len(documents.columns))]
     again = rows.join(kept.where("_again"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("fp") == F.col("_fp")))
     again = again.groupBy("doc_id", "fp").agg(F.min(F.struct(*names)).alias("row"))
