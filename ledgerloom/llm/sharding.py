@@ -156,12 +156,15 @@ def in_shards(documents: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def rewrite(documents: DataFrame, placed: DataFrame, path: str, doc_id: str = "doc_id") -> list[int]:
     """Write the shards that gain or lose documents to path/shard=N, leaving the others' files alone; their numbers.
 
-    ``placed`` has doc_id, old and shard; doc_id must be unique. A shard whose number is new counts as affected.
+    ``placed`` has doc_id, old, shard and slot; doc_id must be unique, and null in one row at most. A shard whose number is new
+    counts as affected; the folder of a shard that ends empty is deleted.
     """
     moves = placed.where("old <> shard")
     touched = sorted({x for r in moves.select("old", "shard").distinct().collect() for x in r})  # pairs of shards
     if touched:
-        rows = documents.join(placed.where(F.col("shard").isin(touched)).select(F.col("doc_id").alias(doc_id), "shard", "slot"), doc_id)
+        at = placed.where(F.col("shard").isin(touched)).select(F.col("doc_id").alias("_id"), "shard", "slot")
+        rows = documents.join(at, documents[doc_id].eqNullSafe(F.col("_id"))).drop("_id")
+        left = {r["shard"] for r in at.select("shard").distinct().collect()}  # a row a shard
         spark = documents.sparkSession
         mode = spark.conf.get("spark.sql.sources.partitionOverwriteMode", "static")
         spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
@@ -169,4 +172,8 @@ def rewrite(documents: DataFrame, placed: DataFrame, path: str, doc_id: str = "d
             rows.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.mode("overwrite").partitionBy("shard").parquet(path)
         finally:
             spark.conf.set("spark.sql.sources.partitionOverwriteMode", mode)
+        # an overwrite by partition leaves a partition without rows as it was
+        for emptied in sorted(set(touched) - left):
+            folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/shard={emptied}")
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
     return touched

@@ -5,6 +5,7 @@ import zlib
 import pytest
 from conftest import frame, prose
 from ledgerloom.llm import sharding as S
+from pyspark.sql import functions as F
 
 
 def test_the_flow_moves_the_fewest_bytes():
@@ -58,3 +59,13 @@ def test_only_affected_shards_are_written(spark, tmp_path):
     assert S.rewrite(docs, placed, path) == [0, 1]
     assert {p.name for p in (tmp_path / "shards" / "shard=3").iterdir()} == before
     assert sorted((r["doc_id"], r["shard"]) for r in spark.read.parquet(path).collect()) == [(0, 0), (1, 1), (2, 1), (3, 2), (4, 3), (5, 3)]
+
+
+def test_shrinking_leaves_no_document_twice(spark, tmp_path):
+    docs = spark.createDataFrame([(None, "t0"), *((i, f"t{i}") for i in range(1, 6))], "doc_id long, text string")
+    placed = spark.createDataFrame([(None, 0, 0, 0), (1, 0, 0, 1), (2, 1, 1, 0), (3, 2, 0, 2), (4, 3, 1, 1), (5, 3, 1, 2)], "doc_id long, old int, shard int, slot long")
+    path = str(tmp_path / "shards")
+    docs.join(placed, docs["doc_id"].eqNullSafe(placed["doc_id"])).select(docs["doc_id"], "text", F.col("old").alias("shard"), "slot").write.partitionBy("shard").parquet(path)
+    assert S.rewrite(docs, placed, path) == [0, 1, 2, 3]
+    assert sorted((r["text"], r["shard"]) for r in spark.read.parquet(path).collect()) == [("t0", 0), ("t1", 0), ("t2", 1), ("t3", 0), ("t4", 1), ("t5", 1)]
+    assert sorted(p.name for p in (tmp_path / "shards").glob("shard=*")) == ["shard=0", "shard=1"]
