@@ -5,15 +5,18 @@ words joined by a space (all words, if fewer), repeats included. A fingerprint b
 of the shingles' XXH64 (UTF-8, seed 42) have it. Fingerprints link at two or fewer differing bits.
 
 Two bits touch at most two of the eight bytes, so linked fingerprints share at least six positional
-bytes. Postings of one byte would each hold a 256th of the corpus, so a posting here is the four bytes
-of two of the four byte pairs: of four pairs at most two are touched, so linked fingerprints share at
-least one of the six postings. For each pair met in a posting the shared positional bytes are tallied,
-pairs below six are dropped, and the rest is verified by the Hamming distance. The pair is kept in
-the first posting it shares only.
-
-Equal fingerprints are one entry of the index, so groups of copies cost nothing. A posting longer than
-``LONG`` is not paired: each entry instead probes the 528 fingerprints that differ from it in one or
-two of the 32 bits outside the posting, which finds the same links by equality.
+bytes. The index posts each fingerprint under every set of ``GRAM`` of its positional bytes (a list of a
+single byte would hold a 256th of the corpus, and pairs of it would grow with the square of the
+documents; five bytes are 40 bits). Two fingerprints that share s positional bytes meet in C(s, 5) of
+the 56 postings: once at five, 6 times at six, 21 at seven, never below. The meetings are tallied per
+pair, pairs below the guaranteed minimum of C(6, 5) = 6 are dropped, and the rest is verified by the
+Hamming distance.
+
+Equal fingerprints are one entry of the index, so groups of copies cost nothing. Lists of over ``LONG``
+entries, which only large groups of near copies make, are not paired: each entry of one looks up the
+2,080 fingerprints at one or two bits from it among the entries of such lists, by equality, which finds
+the same links. A linked pair that meets in a long list is found there, and any other has all its
+meetings in lists that are paired, so none is lost.
 
 Defined cases: null, empty or blank text has the fingerprint zero, linked like any other; repeated
 rows get equal results; a null doc_id gets the smallest doc_id of its component, null if there is none.
@@ -22,6 +25,7 @@ rows get equal results; a null doc_id gets the smallest doc_id of its component,
 from __future__ import annotations
 
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -33,12 +37,13 @@ from .common import checkpointed, components, kept_columns, mapped, own
 
 SHINGLE = 3
 RADIUS = 2
-LONG = 4096
+BYTES = 8
+#: Positional bytes of a posting.
+GRAM = 5
+LONG = 512
+BROADCAST_ROWS = 1_000_000
 SEED = 42
 
-#: The two-byte pairs of a posting, of pairs 0 to 3 from the low end.
-POSTINGS = list(combinations(range(4), 2))
-
 
 def fingerprint(text: str | None, size: int = SHINGLE) -> int:
     import xxhash
@@ -78,44 +83,40 @@ def _with_fp(rows: DataFrame, size: int = SHINGLE) -> DataFrame:
     return mapped(rows, "text", T.StructType([T.StructField("fp", T.LongType())]), made)
 
 
-def _pair(fp: str, k: int) -> str:
-    return f"(shiftrightunsigned({fp}, {16 * k}) & 65535L)"
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
 
+def _longs(values: list[int]) -> str:
+    return f"array({', '.join(f'{_signed(v)}L' if v != 1 << 63 else '(-9223372036854775807L - 1L)' for v in values)})"
 
-def _posting(fp: str, i: int) -> str:
-    a, b = POSTINGS[i]
-    return f"(({_pair(fp, b)} * 65536L + {_pair(fp, a)}) * 8L + {i}L)"
+
+def postings(index: DataFrame) -> DataFrame:
+    """place (which positional bytes), value (those bytes) and fp: the inverted index, C(8, GRAM) rows a fingerprint."""
+    masks = [sum(255 << 8 * k for k in chosen) for chosen in combinations(range(BYTES), GRAM)]
+    return index.select("fp", F.posexplode(F.expr(f"transform({_longs(masks)}, m -> fp & m)")).alias("place", "value")).select("place", "value", "fp")
 
 
 def links(index: DataFrame, radius: int = RADIUS, long: int = LONG) -> DataFrame:
     """Pairs u < v of different fingerprints at most ``radius`` (two at most) bits apart; ``index`` has distinct fp."""
     if not 0 <= radius <= 2:
         raise ValueError("the index guarantees pairs of at most two differing bits")
-    posted = index.select("fp", F.explode(F.expr(f"array({', '.join(_posting('fp', i) for i in range(6))})")).alias("p"))
-    lengths = posted.groupBy("p").agg(F.count(F.lit(1)).alias("n"))
-    # few postings are long: a left join on the posting tells them apart without moving the others twice
-    marked = posted.join(lengths.where(F.col("n") > long).select("p", F.lit(True).alias("long")), "p", "left")
-    short = marked.where("long is null").select("p", "fp")
-    x = "(a.fp ^ b.fp)"
-    tally = " + ".join(f"if((shiftrightunsigned({x}, {8 * k}) & 255L) = 0, 1, 0)" for k in range(8))
-    first = " else ".join(f"case when {_posting('a.fp', i)} = {_posting('b.fp', i)} then a.p & 7L = {i}" for i in range(6)) + " end" * 6
-    pairs = (
-        short.alias("a").join(short.alias("b"), F.expr(f"a.p = b.p and a.fp < b.fp and {tally} >= 6 and bit_count({x}) <= {radius} and {first}"))
-        .select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"))
-    )
-    probes = []
-    for i, kept in enumerate(POSTINGS):
-        free = [16 * k + j for k in range(4) if k not in kept for j in range(16)]
-        bits = [1 << j for j in free] + [1 << j | 1 << k for j, k in combinations(free, 2)] * (radius > 1)
-        masks = ", ".join(f"{m - (1 << 64) if m >> 63 else m}L" if m != 1 << 63 else "(-9223372036854775807L - 1L)" for m in bits)
-        probes.append(f"when {i} then array({masks})")
+    posted = postings(index).repartition("place", "value")
+    lengths = posted.groupBy("place", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = checkpointed(posted.join(lengths, ["place", "value"]).select("place", "value", "fp", (F.col("n") > long).alias("long")))
+    short = shared.where("not long")
+    # count filter: meetings per pair, of which linked pairs have a guaranteed number
+    met = short.alias("a").join(short.alias("b"), F.expr("a.place = b.place and a.value = b.value and a.fp < b.fp")).groupBy(F.col("a.fp").alias("u"), F.col("b.fp").alias("v")).agg(F.count(F.lit(1)).alias("tally"))
+    paired = met.where(F.col("tally") >= comb(BYTES - radius, GRAM)).where(F.expr(f"bit_count(u ^ v) <= {radius}")).select("u", "v")
+    crowded = checkpointed(shared.where("long").select("fp").distinct())
+    around = [1 << j for j in range(64)] * (radius > 0) + [1 << j | 1 << k for j, k in combinations(range(64), 2)] * (radius > 1)
+    small = F.broadcast if crowded.count() <= BROADCAST_ROWS else (lambda x: x)
     probed = (
-        marked.where("long").select("fp", F.explode(F.expr(f"case p & 7L {' '.join(probes)} end")).alias("m"))
-        .select(F.col("fp").alias("u"), F.expr("fp ^ m").alias("v")).where("u < v")
-        .join(index.select(F.col("fp").alias("v")), "v", "left_semi").select("u", "v")
+        crowded.select(F.col("fp").alias("u"), F.explode(F.expr(f"transform(cast({_longs(around)} as array<bigint>), m -> fp ^ m)")).alias("v")).where("u < v")
+        .join(small(crowded.select(F.col("fp").alias("v"))), "v", "left_semi").select("u", "v")
     )
-    # a pair may share a short posting and a long one
-    return pairs.union(probed).distinct()
+    # a pair may meet in lists of either kind
+    return paired.union(probed).distinct()
 
 
 def groups(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
