@@ -1,22 +1,23 @@
 """Mixing sources to target weights (2): weighted fair queueing.
 
-Documents of a source are shuffled by a seeded hash and queue up to ``REPEATS`` times over. A copy's
-virtual finish time is the tokens its source has queued up to its end, divided by the source's weight.
-Serving all queues in the order of virtual time and stopping when the budget is spent gives each source
-its weighted share; a source that runs out (at ``REPEATS`` times its size) leaves its share to the
-others, by weight. The virtual time at which the budget is spent is where the sum over sources of
-min(weight x time, REPEATS x size) reaches it; it is found from the sources' sizes alone, so
-the global order needs no sort of all documents. The copy that straddles a source's share is taken if its
-middle is inside.
-
-In a source's shuffled order the copies taken are whole rounds and then the documents up to a cut, so
-only the cuts have to be found: totals of (source, hash range) tell the range in which each falls, and
-only that range's documents are put in order. Documents then meet their source's cut in a join with one
-row a source; no text is shuffled and no task holds a source.
+Documents of a source are shuffled by a seeded hash and queue up to ``REPEATS`` times over, round after
+round. A queued document's virtual finish time is the tokens its source has queued up to its end,
+divided by the source's weight. All sources' queues are put in one order by finish time and served
+until the next document would exceed the budget. So each source gets its weighted share to within one
+document; a source that runs out (at ``REPEATS`` times its size) leaves its share to the others, by weight.
+
+Cumulative tokens come from ``prefix_sums`` over hash ranges of a source. The queued documents, slim rows of
+a few numbers, are range-sorted by (finish time, source, round, place in the source) into ranges of
+about ``PIECE_ROWS``; the ranges' totals tell in which one the budget ends, and only that one is summed row by
+row. What was served is, for each source, its queue up to a last document, so the documents
+themselves meet one row a source: no text is shuffled and no task holds a source.
+
+Targets, the tokens a source should get, follow from the sizes alone: the virtual time at which the sum over
+sources of min(weight x time, REPEATS x size) is the budget. They are reported beside the queue's result and decide nothing.
 
 Defined cases: null text has no tokens; a null source is a source of its own, the last; a document of no
-tokens is taken like its neighbours, for 0 tokens; rows equal in doc_id and text are taken alike; empty
-tables give no rows.
+tokens queues once, in the first round; rows equal in doc_id, source and text are one entry of the queue, so they
+are taken alike; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -25,13 +26,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import checkpointed
+from .common import checkpointed, prefix_sums
 
 WEIGHTS = (5.0, 2.0, 1.0)
 REPEATS = 3
 SEED = 17
-#: Rows of a source that may meet in one task's window, about.
+#: Rows that may meet in one task's window, about.
 PIECE_ROWS = 20_000
+#: Rows of under 100 bytes and a source's name that may be broadcast.
+BROADCAST_ROWS = 100_000
 
 
 def word_count(text: Column) -> Column:
@@ -39,15 +42,16 @@ def word_count(text: Column) -> Column:
 
 
 def targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, repeats: int = REPEATS, share: float = 1.0) -> DataFrame:
-    """source, source_size -> also weight, target and the virtual time at which the mix ends.
+    """source, source_size -> also rank, weight and target.
 
     One row a source; windows run over sources, not documents.
     """
     order = W.orderBy(F.col("source").asc_nulls_last())
-    weight = F.element_at(F.array(*map(F.lit, weights)), ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int"))
-    w = sources.withColumn("weight", weight).withColumn("cap", F.col("source_size").cast("double") * repeats)
+    w = sources.withColumn("rank", F.row_number().over(order).cast("long"))
+    weight = F.element_at(F.array(*map(F.lit, weights)), ((F.col("rank") - 1) % len(weights) + 1).cast("int"))
+    w = w.withColumn("weight", weight).withColumn("cap", F.col("source_size").cast("double") * repeats)
     # sources run out in the order of cap / weight; before source i runs out, those after it still draw
-    full = W.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
+    full = W.orderBy(F.col("cap") / F.col("weight"), "rank")
     before, rest = full.rowsBetween(W.unboundedPreceding, -1), full.rowsBetween(0, W.unboundedFollowing)
     w = (
         w.withColumn("budget", F.sum(F.col("source_size").cast("double")).over(W.partitionBy()) * share)
@@ -56,7 +60,7 @@ def targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, repeats: i
     )
     # the first source that doesn't run out has the time at which the budget is spent
     w = w.withColumn("time", F.min(F.when(F.col("at") <= F.col("out"), F.struct("out", "at"))).over(W.partitionBy())["at"])
-    return w.select("source", "source_size", "weight", F.least(F.col("cap"), F.coalesce(F.col("weight") * F.col("time"), F.col("cap"))).alias("target"))
+    return w.select("source", "source_size", "rank", "weight", F.least(F.col("cap"), F.coalesce(F.col("weight") * F.col("time"), F.col("cap"))).alias("target"))
 
 
 def keyed(documents: DataFrame, doc_id: str, text: str, source: str, seed: int, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -66,46 +70,54 @@ def keyed(documents: DataFrame, doc_id: str, text: str, source: str, seed: int,
     )
 
 
-def cuts(d: DataFrame, weights: tuple[float, ...], repeats: int, share: float) -> tuple[DataFrame, int]:
-    """One row a source: its size, target, whole rounds, and the piece and order key of its cut; and the number of pieces."""
-    sizes = checkpointed(d.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")))
-    most = sizes.agg(F.max("n")).first()[0] or 0
-    pieces = max(1, min(1 << 20, -(-most // PIECE_ROWS)))
-    goal = targets(sizes.select("source", "source_size"), weights, repeats, share)
-    rounds = F.when(F.col("source_size") > 0, F.least(F.lit(repeats), F.floor(F.col("target") / F.greatest("source_size", F.lit(1))))).otherwise(0)
-    goal = checkpointed(goal.withColumn("rounds", rounds.cast("int")).withColumn("left", F.col("target") - F.col("rounds") * F.col("source_size")))
+def with_source(rows: DataFrame, goal: DataFrame) -> DataFrame:
+    """``rows`` with the columns of their source's row of ``goal``."""
     goal = goal.withColumnRenamed("source", "_source")
-    same = F.col("source").eqNullSafe(F.col("_source"))
-    d = d.withColumn("piece", piece_of(pieces))
-    ahead = W.partitionBy("source").orderBy("piece").rowsBetween(W.unboundedPreceding, -1)
-    totals = d.groupBy("source", "piece").agg(F.sum("size").alias("b")).withColumn("before", F.coalesce(F.sum("b").over(ahead), F.lit(0)))
-    at = totals.join(goal, same).where("before <= left and left < before + b").select(F.col("source").alias("_s"), F.col("piece").alias("cut_piece"), "before", "left")
-    at = at.groupBy("_s").agg(F.min(F.struct("cut_piece", "before", "left")).alias("x")).select("_s", "x.*")
-    inside = d.join(at, F.col("source").eqNullSafe(F.col("_s")) & (F.col("piece") == F.col("cut_piece")))
-    # repeated rows are one row of the line, however many they are
-    inside = inside.groupBy("_s", "cut_piece", "before", "left", "h", "doc_id", "size").agg((F.col("size") * F.count(F.lit(1))).alias("whole"))
-    line = W.partitionBy("_s").orderBy("h", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
-    inside = inside.withColumn("middle", F.col("before") + F.sum("whole").over(line) - F.col("whole") / 2.0)
-    key = F.max(F.when(F.col("middle") < F.col("left"), F.struct("h", "doc_id", "size"))).alias("cut_key")
-    found = inside.groupBy(F.col("_s")).agg(F.first("cut_piece").alias("cut_piece"), key)
-    out = goal.join(found, F.col("_source").eqNullSafe(F.col("_s")), "left").select("_source", "source_size", "target", "rounds", "left", "cut_piece", "cut_key")
-    return checkpointed(out), pieces
-
-
-def piece_of(pieces: int) -> Column:
-    return F.expr(f"cast(floor((h / 18446744073709551616D + 0.5D) * {pieces}) as long)")
+    goal = F.broadcast(goal) if goal.count() <= BROADCAST_ROWS else goal
+    return rows.join(goal, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+
+
+def queued(slim: DataFrame, goal: DataFrame, repeats: int) -> DataFrame:
+    """One row per document and round: rank, round, place in the source (h, doc_id, size), mass, and the virtual finish time."""
+    entries = with_source(slim.groupBy("source", "h", "doc_id", "size").agg(F.count(F.lit(1)).alias("n")), goal)
+    entries = checkpointed(entries.select("rank", "h", "doc_id", "size", (F.col("size") * F.col("n")).alias("mass"), "weight", "source_size"))
+    most = entries.groupBy("rank").count().agg(F.max("count")).first()[0] or 0
+    pieces = max(1, min(1 << 20, -(-most // PIECE_ROWS)))
+    entries = entries.withColumn("piece", F.expr(f"cast(floor((h / 18446744073709551616D + 0.5D) * {pieces}) as long)"))
+    entries = prefix_sums(entries, ["rank"], "piece", [F.col("h"), F.col("doc_id"), F.col("size")], {"end": F.col("mass")})
+    rounds = F.sequence(F.lit(0), F.when(F.col("size") > 0, F.lit(repeats - 1)).otherwise(F.lit(0)))
+    copies = entries.withColumn("round", F.explode(rounds))
+    finish = (F.col("round") * F.col("source_size") + F.col("end")) / F.col("weight")
+    return copies.select(finish.alias("finish"), "rank", "round", "h", "doc_id", "size", "mass")
+
+
+def served(copies: DataFrame, budget: float) -> DataFrame:
+    """The rows of ``queued`` in the order of finish times, up to where the next one would exceed ``budget``."""
+    order = ["finish", "rank", "round", "h", "doc_id", "size"]
+    ranges = max(1, -(-copies.count() // PIECE_ROWS))
+    sorted_ = checkpointed(copies.repartitionByRange(ranges, *order).withColumn("range", F.spark_partition_id()))
+    # one short row a range
+    ahead = W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+    totals = sorted_.groupBy("range").agg(F.sum("mass").alias("b")).withColumn("before", F.coalesce(F.sum("b").over(ahead), F.lit(0)))
+    cut = totals.where(F.col("before") + F.col("b") > budget).orderBy("range").first()
+    if cut is None:
+        return sorted_.drop("range")
+    line = W.partitionBy("range").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    last = sorted_.where(F.col("range") == cut["range"]).withColumn("run", F.sum("mass").over(line) + cut["before"])
+    return sorted_.where(F.col("range") < cut["range"]).drop("range").union(last.where(F.col("run") <= budget).drop("range", "run"))
 
 
 def mixed(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS, repeats: int = REPEATS, share: float = 1.0, seed: int = SEED, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, size, source_size, target, copies and taken per document, with ``keep`` as _keep_0 and so on."""
     slim = checkpointed(keyed(documents, doc_id, text, source, seed))
-    goal, pieces = cuts(slim, weights, repeats, share)
-    d = keyed(documents, doc_id, text, source, seed, keep) if keep else slim
-    d = d.withColumn("piece", piece_of(pieces))
-    few = goal.count() <= 100_000  # rows of under 100 bytes and a source's name
-    d = d.join(F.broadcast(goal) if few else goal, F.col("source").eqNullSafe(F.col("_source")))
-    more = (F.col("piece") < F.col("cut_piece")) | ((F.col("piece") == F.col("cut_piece")) & F.coalesce(F.struct("h", "doc_id", "size") <= F.col("cut_key"), F.lit(False)))
-    d = d.withColumn("copies", F.col("rounds") + F.coalesce(more, F.lit(False)).cast("int"))
+    goal = checkpointed(targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")), weights, repeats, share))
+    total = int(goal.agg(F.sum("source_size")).first()[0] or 0)
+    last = served(checkpointed(queued(slim, goal, repeats)), total * share).groupBy("rank").agg(F.max(F.struct("round", "h", "doc_id", "size")).alias("last"))
+    goal = checkpointed(goal.join(last, "rank", "left"))
+    d = with_source(keyed(documents, doc_id, text, source, seed, keep) if keep else slim, goal)
+    here = F.struct("h", "doc_id", "size") <= F.struct("last.h", "last.doc_id", "last.size")
+    copies = F.coalesce(F.col("last.round") + here.cast("int"), F.lit(0))
+    d = d.withColumn("copies", F.when(F.col("size") > 0, copies).otherwise(F.least(copies, F.lit(1))))
     return d.withColumn("taken", F.col("copies") * F.col("size"))
 
 
