@@ -22,7 +22,7 @@ from __future__ import annotations
 
 from collections import deque
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -136,43 +136,65 @@ def sharded(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
     return at.select("doc_id", "size", F.col("c").alias("text_crc32"), "old", "shard", (F.col("_n") - 1).cast("long").alias("slot"))
 
 
-def in_shards(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", shards: int = SHARDS) -> DataFrame:
-    """The documents' columns with size, shard and slot.
+def numbered(rows: DataFrame, by: list[str], order: list[Column], name: str) -> DataFrame:
+    """``rows`` with their number, from 1, among those equal in ``by``."""
+    return rows.withColumn(name, F.row_number().over(W.partitionBy(*by).orderBy(*order)))
+
+
+def met(documents: DataFrame, placed: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """Each document once, as _keep_0 and so on, with its row of ``placed``.
 
-    A document is met again by its doc_id and text checksum; repeats of both are numbered on either side.
+    They meet by doc_id, null too, and by text_crc32 and size where ``placed`` has them. Rows equal in all of these are
+    numbered on either side, here by a hash of the whole row, so that only equal rows can change places.
     """
-    placed = sharded(documents, doc_id, text, shards).select("doc_id", "size", "text_crc32", "shard", "slot")
-    binary = F.coalesce(F.col(text), F.lit("")).cast("binary")
+    binary = F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")
+    known = {"doc_id": F.col(f"`{doc_id}`"), "text_crc32": F.crc32(binary), "size": (F.octet_length(binary) + 1).cast("long")}
+    known = {k: c for k, c in known.items() if k in placed.columns}
+    hashed = [F.col(f"`{f.name}`") for f in documents.schema.fields if "map<" not in f.dataType.simpleString()]
     names = documents.columns
-    d = documents.select(F.col(doc_id).alias("_id"), F.crc32(binary).alias("_c"), (F.octet_length(binary) + 1).cast("long").alias("_b"), *(F.col(f"`{c}`").alias(f"_keep_{i}") for i, c in enumerate(names)))
-    again = W.partitionBy("doc_id", "text_crc32", "size").orderBy("shard", "slot")
-    placed = placed.withColumn("again", F.row_number().over(again))
-    d = d.withColumn("_again", F.row_number().over(W.partitionBy("_id", "_c", "_b").orderBy(F.lit(0))))
-    same = F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_c") == F.col("text_crc32")) & (F.col("_b") == F.col("size")) & (F.col("_again") == F.col("again"))
-    out = d.join(placed, same)
-    return out.select(*(F.col(f"_keep_{i}").alias(c) for i, c in enumerate(names) if c not in ("shard", "slot", "size")), "size", "shard", "slot")
+    d = documents.select(*(c.alias(f"_{k}") for k, c in known.items()), F.xxhash64(*hashed).alias("_row"), *(F.col(f"`{c}`").alias(f"_keep_{i}") for i, c in enumerate(names)))
+    d = numbered(d, [f"_{k}" for k in known], [F.col("_row")], "_again")
+    placed = numbered(placed, list(known), [F.col("shard"), F.col("slot")], "again")
+    same = F.col("_again") == F.col("again")
+    for k in known:
+        same &= F.col(f"_{k}").eqNullSafe(F.col(k))
+    return d.join(placed, same)
 
 
-def rewrite(documents: DataFrame, placed: DataFrame, path: str, doc_id: str = "doc_id") -> list[int]:
+def in_shards(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", shards: int = SHARDS) -> DataFrame:
+    """The documents' columns with size, shard and slot; columns that have these names already are kept as size_in and so on."""
+    placed = sharded(documents, doc_id, text, shards).select("doc_id", "size", "text_crc32", "shard", "slot")
+    taken = {*documents.columns, "size", "shard", "slot"}
+    out = []
+    for i, c in enumerate(documents.columns):
+        name = c
+        if c in ("size", "shard", "slot"):
+            while name in taken:
+                name += "_in"
+            taken.add(name)
+        out.append(F.col(f"_keep_{i}").alias(name))
+    return met(documents, placed, doc_id, text).select(*out, "size", "shard", "slot")
+
+
+def rewrite(documents: DataFrame, placed: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> list[int]:
     """Write the shards that gain or lose documents to path/shard=N, leaving the others' files alone; their numbers.
 
-    ``placed`` has doc_id, old, shard and slot; doc_id must be unique, and null in one row at most. A shard whose number is new
-    counts as affected; the folder of a shard that ends empty is deleted.
+    ``placed`` is ``sharded``'s result: doc_id, old, shard and slot, and text_crc32 and size, without which doc_id must be
+    unique. ``documents`` may have been read from ``path``; shard and slot columns of theirs are the old layout's and are replaced. A shard
+    whose number is new counts as affected; the folder of a shard that ends empty is deleted. Rows are written aside before any
+    file of the old layout goes.
     """
     moves = placed.where("old <> shard")
     touched = sorted({x for r in moves.select("old", "shard").distinct().collect() for x in r})  # pairs of shards
     if touched:
-        at = placed.where(F.col("shard").isin(touched)).select(F.col("doc_id").alias("_id"), "shard", "slot")
-        rows = documents.join(at, documents[doc_id].eqNullSafe(F.col("_id"))).drop("_id")
-        left = {r["shard"] for r in at.select("shard").distinct().collect()}  # a row a shard
-        spark = documents.sparkSession
-        mode = spark.conf.get("spark.sql.sources.partitionOverwriteMode", "static")
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-        try:
-            rows.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.mode("overwrite").partitionBy("shard").parquet(path)
-        finally:
-            spark.conf.set("spark.sql.sources.partitionOverwriteMode", mode)
+        own = documents.select(*(F.col(f"`{c}`") for c in documents.columns if c not in ("shard", "slot")))
+        rows = met(own, placed, doc_id, text).where(F.col("shard").isin(touched))
+        rows = checkpointed(rows.select(*(F.col(f"_keep_{i}").alias(c) for i, c in enumerate(own.columns)), "shard", "slot"))
+        left = {r["shard"] for r in rows.select("shard").distinct().collect()}  # a row a shard
+        spread = rows.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot")
+        spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
         # an overwrite by partition leaves a partition without rows as it was
+        spark = documents.sparkSession
         for emptied in sorted(set(touched) - left):
             folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/shard={emptied}")
             folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

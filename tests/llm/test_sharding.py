@@ -69,3 +69,32 @@ def test_shrinking_leaves_no_document_twice(spark, tmp_path):
     assert S.rewrite(docs, placed, path) == [0, 1, 2, 3]
     assert sorted((r["text"], r["shard"]) for r in spark.read.parquet(path).collect()) == [("t0", 0), ("t1", 0), ("t2", 1), ("t3", 0), ("t4", 1), ("t5", 1)]
     assert sorted(p.name for p in (tmp_path / "shards").glob("shard=*")) == ["shard=0", "shard=1"]
+
+
+def test_every_row_once_whatever_its_id(spark, tmp_path):
+    """16 shards become 5: null and repeated ids, rows wholly equal, rows that differ in another column only."""
+    rows = [(i % 40 if i % 5 else None, f"text {i % 50} " * (1 + i % 7), f"x{i % 3}") for i in range(400)] + [(7, "same", "y")] * 9 + [(None, None, None)] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, note string")
+    path = str(tmp_path / "shards")
+    old = S.met(docs, S.sharded(docs, shards=16), "doc_id", "text")
+    old.select(*(F.col(f"_keep_{i}").alias(c) for i, c in enumerate(docs.columns)), "shard", "slot").write.partitionBy("shard").parquet(path)
+    stored = spark.read.parquet(path)
+    placed = S.sharded(stored, shards=5).drop("old")
+    # the layout on disk is where each row stands now
+    now = S.met(stored.drop("slot"), placed, "doc_id", "text").select(*placed.columns, F.col("_keep_3").alias("old"))
+    assert S.rewrite(stored, now, path) == list(range(16))
+    got = spark.read.parquet(path)
+    assert sorted(map(repr, ((r["doc_id"], r["text"], r["note"]) for r in got.collect()))) == sorted(map(repr, rows))
+    assert sorted(p.name for p in (tmp_path / "shards").glob("shard=*")) == [f"shard={k}" for k in range(5)]
+    slots = {}
+    for r in got.collect():
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+
+
+def test_clashing_columns_are_kept(spark):
+    docs = spark.createDataFrame([(i, f"t{i}", f"a{i}", i * 2, f"b{i}", "c") for i in range(30)], "doc_id long, text string, size string, shard long, slot string, size_in string")
+    got = S.in_shards(docs, shards=3)
+    assert got.columns == ["doc_id", "text", "size_in_in", "shard_in", "slot_in", "size_in", "size", "shard", "slot"]
+    assert sorted((r["doc_id"], r["size_in_in"], r["shard_in"], r["slot_in"], r["size_in"]) for r in got.collect()) == [(i, f"a{i}", i * 2, f"b{i}", "c") for i in range(30)]
+    assert {r["shard"] for r in got.collect()} == {0, 1, 2}
