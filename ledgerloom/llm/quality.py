@@ -10,7 +10,7 @@ Whole texts are compressed, in pieces of ``PIECE`` bytes, so a long text does no
 dictionaries in its own repetition and memory stays that of a piece.
 
 Fitting uses at most ``MOST`` documents of either class outside the held-out fold, half of them for the
-dictionaries (a hashed piece each) and half for the calibration (whole). Everything else reads all rows.
+dictionaries and half for the calibration, their whole texts in either case. Everything else reads all rows.
 
 Defined cases: null and empty texts have no pieces and a difference of 0; without labels of both classes
 every score is the share of class 1 (0.5 where there are no labels); repeated rows score alike.
@@ -18,11 +18,7 @@ every score is the share of class 1 (0.5 where there are no labels); repeated ro
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -82,16 +78,9 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", folds:
     rows, prior = sample(documents, labels, label, folds, held, most)
     rows = rows.withColumn("half", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(2)))
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            own = [pieces(t) for t in pdf["text"]]
-            chosen = [p[zlib.crc32(str(i).encode()) % len(p)] if p else b"" for i, p in zip(pdf["id"], own, strict=True)]
-            yield pd.DataFrame({"id": pdf["id"], "y": pdf["y"], "p": chosen})
-
-    # at most ``most`` pieces of PIECE bytes in all
-    taught = rows.where("half = 0").mapInPandas(cut, "id long, y int, p binary").collect()
-    taught = sorted(taught, key=lambda r: (r["id"], bytes(r["p"])))
-    good, bad = ([bytes(r["p"]) for r in taught if r["y"] == y and r["p"]] for y in (1, 0))
+    # a bounded number of documents, whole
+    taught = sorted(rows.where("half = 0").select("id", "y", "text").collect(), key=lambda r: r["id"])
+    good, bad = ([p for r in taught if r["y"] == y for p in pieces(r["text"])] for y in (1, 0))
     model = {"good": dictionary(good), "bad": dictionary(bad), "slope": 0.0, "offset": float(np.log(prior / (1 - prior))) if 0 < prior < 1 else 0.0}
     if good and bad:
         seen = differences(rows.where("half = 1").select("id", "text", "y"), model).select("y", "d").collect()  # at most ``most`` pairs of numbers
