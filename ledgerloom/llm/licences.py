@@ -1,6 +1,6 @@
 """License scans (7), native: a positional rare-token index over licence templates.
 
-Texts are lower-cased and cut into words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``. A template is the words
+Texts are lower-cased (A-Z) and cut into words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``. A template is the words
 of a notice, of which a key phrase is mandatory. The document frequency of every template word is
 counted over the whole corpus; the index posts each template under the rarest word of its key, with
 the word's position. A file's words that are posted give candidates (template, start); the key's next
@@ -19,6 +19,7 @@ overlapping places all count; an empty table gives no rows.
 from __future__ import annotations
 
 import math
+from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -67,8 +68,8 @@ def templates(base=BASE, notices=NOTICES) -> list[dict]:
 
 
 def normalised(text: Column) -> Column:
-    """The words joined by one space. ``lower`` also changes letters beyond A-Z, of which no template has any."""
-    return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), SEPARATORS, " "))
+    """The words joined by one space; of letters only A-Z are lower-cased."""
+    return F.trim(F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), ascii_uppercase, ascii_lowercase), SEPARATORS, " "))
 
 
 def frequencies(line: Column, documents: DataFrame, vocabulary: list[str]) -> tuple[int, dict[str, int]]:

@@ -21,7 +21,7 @@ def brute(text):
 
 TEXTS = [
     "Released under the MIT License.", "under the MIT licence; under the\nMIT License under the mit license", "Apache License, Version 2.0", "apache license version 20", "CC BY-NC 4.0 and CC-BY-NC", "cc by", "mit mit mit unter the mit",
-    "This work is licensed under the GNU General Public License, version 3.", None, "", "...", "ÜNDER the MIT License", "x" + "under the mit license", prose(5, 3000) + " cc by nc " + prose(6, 100), "under the mit license", "under the mit license",
+    "This work is licensed under the GNU General Public License, version 3.", None, "", "...", "ÜNDER the MIT License", "This wor\u212a is licensed", "under the m\u0130t license", "x" + "under the mit license", prose(5, 3000) + " cc by nc " + prose(6, 100), "under the mit license", "under the mit license",
 ]
 
 
