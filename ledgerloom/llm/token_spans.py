@@ -14,9 +14,11 @@ Tokens outside every section are counted under section -1, so the counts of a do
 
 The vocabulary's file is read on the driver and broadcast (about 1 MB); a document is held by one task.
 
-Defined cases: null and empty texts have one empty section 0 of no tokens; empty sections have none;
-sections must be in order and must not overlap; repeated rows are each counted; an empty table gives
-no rows.
+Defined cases: null and empty texts have one empty section 0 of no tokens; empty sections have none; given
+sections may stand in any order and are cut to the text; where some overlap, bytes belong to the one that
+starts first, of these to the one that ends first, then to the one given first; a section that is null, has a
+null bound or ends before it starts is empty and has null bounds; repeated rows are each counted; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -110,6 +112,22 @@ def char_bytes(raw: bytes) -> np.ndarray | None:
     return np.append(np.nonzero((b & 0xC0) != 0x80)[0], len(raw))
 
 
+def given_sections(sections: list | None, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Character spans of sections as given, cut to the text, and which of them are sound."""
+    sound = np.array([s is not None and s["start"] is not None and s["end"] is not None and s["start"] <= s["end"] for s in sections or []], bool)
+    at = np.array([(s["start"], s["end"]) if ok else (0, 0) for s, ok in zip(sections or [], sound.tolist(), strict=True)], np.int64).reshape(-1, 2)
+    return at.clip(0, size), sound
+
+
+def disjoint(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order of sections by (start, end, place), and their spans in it without what earlier ones hold already."""
+    order = np.lexsort((last, first))
+    first, last = first[order], last[order]
+    held = np.concatenate(([0], np.maximum.accumulate(last)))[: len(last)]
+    first = np.maximum(first, held)
+    return order, first, np.maximum(first, last)
+
+
 def line_sections(text: str) -> np.ndarray:
     """Character spans of the lines; a line's newline is its own."""
     chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -138,10 +156,13 @@ def counted(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", se
             sizes, columns = [0], [[], [], [], []]
             for x in inputs:
                 t = x["text"] or ""
-                at = np.array([(s["start"], s["end"]) for s in x["sections"] or []], np.int64).reshape(-1, 2).clip(0, len(t)) if sections else line_sections(t)
+                at, sound = given_sections(x["sections"], len(t)) if sections else (line_sections(t), None)
                 where = char_bytes(t.encode("utf-8", "surrogatepass"))
                 first, last = (at[:, 0], at[:, 1]) if where is None else (where[at[:, 0]], where[at[:, 1]])
+                order, first, last = disjoint(first, last)
                 n, none = attributed(enc.ends(t), first, last, rule)
+                n[order] = n.copy()
+                at = at if sound is None else np.where(sound[:, None], at, -1)
                 own = np.arange(len(at))
                 if none:
                     at, n, own = np.concatenate((at, [[-1, -1]])), np.append(n, none), np.append(own, -1)
@@ -156,6 +177,6 @@ def counted(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", se
 
     fields = T.StructType([T.StructField("section", T.IntegerType()), T.StructField("start_char", T.LongType()), T.StructField("end_char", T.LongType()), T.StructField("n_tokens", T.DoubleType())])
     out = mapped(rows, "in", T.StructType([T.StructField("parts", T.ArrayType(fields))]), made).select("doc_id", F.inline("parts"))
-    there = F.col("section") >= 0
-    out = out.withColumn("start_char", F.when(there, F.col("start_char"))).withColumn("end_char", F.when(there, F.col("end_char")))
+    there = F.col("start_char") >= 0
+    out = out.withColumns({"start_char": F.when(there, F.col("start_char")), "end_char": F.when(there, F.col("end_char"))})
     return out if rule == "split" else out.withColumn("n_tokens", F.col("n_tokens").cast("long"))

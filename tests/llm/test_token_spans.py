@@ -60,6 +60,25 @@ def test_given_sections(spark):
     assert {r["section"] for r in rows if r["doc_id"] == 1} == {0, 1, -1} and [r["section"] for r in rows if r["doc_id"] == 2] == [-1]
 
 
+def test_sections_in_any_order(spark):
+    text = "Some words of a text, naïve and long enough"
+    parts = [(20, 30), (None, 4), (0, 10), (5, 25), None, (9, 3), (40, 999), (12, 12), (0, 10)]
+    df = spark.createDataFrame([(1, text, parts), (2, None, parts)], "doc_id long, text string, parts array<struct<start:int,end:int>>")
+    got = {(r["doc_id"], r["section"]): r for r in T.counted(df, sections="parts", rule="split").collect()}
+    enc = T.Encoder(open(T.VOCABULARY, "rb").read())
+    ends, at = enc.ends(text), np.append(T.char_bytes(text.encode()), len(text.encode()))
+    # each byte asked which sound section that starts first holds it
+    sound = sorted((p[0], p[1], i) for i, p in enumerate(parts) if p and None not in p and p[0] <= p[1])
+    want, start = [0.0] * (len(parts) + 1), 0
+    for end in ends.tolist():
+        for byte in range(start, end):
+            want[next((i for a, b, i in sound if at[a] <= byte < at[min(b, len(text))]), len(parts))] += 1 / (end - start)
+        start = end
+    assert np.allclose([got[1, i]["n_tokens"] for i in range(len(parts))] + [got[1, -1]["n_tokens"]], want)
+    assert [(got[1, i]["start_char"], got[1, i]["end_char"]) for i in (0, 1, 4, 5, 6)] == [(20, 30), (None, None), (None, None), (None, None), (40, len(text))]
+    assert sum(r["n_tokens"] for (d, _), r in got.items() if d == 2) == 0
+
+
 def test_odd_documents(odd, none):
     got = T.counted(odd)
     assert got.select("doc_id").distinct().count() == odd.select("doc_id").distinct().count()
