@@ -1,10 +1,12 @@
 """Chat formatting (6), native: preference pairs from chosen and rejected conversations.
 
 The two conversations of a pair share a prompt: their longest common prefix of turns, equal in role and
-text. The prompt is rendered once; what follows it is the chosen and the rejected completion. A pair is
-emitted in segments, one a turn, with a mask that tells which segments count for the loss: the
-completions' assistant turns. Segments in the order of (part, position) concatenate to the rendered
-prompt and completions, and no conversation has to fit into one task.
+text. The prompt is rendered once; what follows it is the chosen and the rejected completion, with a
+mask that tells which characters count for the loss: those of the completions' assistant turns.
+
+``segments`` renders turn by turn, ``paired`` puts the turns together: one row per pair and chunk of
+``TURNS`` positions with the prompt, both completions and their masks. Ordinary conversations are one row; the rows of
+a longer one concatenate in the order of chunks, so no conversation has to fit into one task.
 
 Turns are compared by sha256 of role and text, at their position: hashes go through the shuffles, and
 the text only through the last one, which brings each conversation its first differing turn.
@@ -12,7 +14,7 @@ the text only through the last one, which brings each conversation its first dif
 Defined cases: a turn's repeated rows are one turn; of several rows of one turn the order is that of
 (turn, hash), a null turn last; a null role or text is unlike any text, equal to another null and
 rendered empty; a conversation without a partner is all completion, its pair's other side being empty;
-equal conversations are all prompt; a null pair id makes no pair; an empty table gives no rows.
+equal conversations are all prompt, with empty completions; a null pair id makes no pair; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -64,3 +66,15 @@ def segments(turns: DataFrame, pair: Column, chosen: Column, turn: str = "turn",
         "pair_id", "part", "position", "turn", "role", rendered(F.col("role"), F.col("text")).alias("segment"),
         ((F.col("part") != "prompt") & F.col("role").eqNullSafe(F.lit("assistant"))).alias("loss"),
     )
+
+
+def paired(turns: DataFrame, pair: Column, chosen: Column, turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+    """pair_id, chunk, prompt, chosen, chosen_mask, rejected, rejected_mask; a mask is an array of spans [start, end) of characters."""
+    s = segments(turns, pair, chosen, turn, role, text).withColumn("chunk", F.floor(F.col("position") / TURNS))
+    rows = s.groupBy("pair_id", "chunk").agg(F.array_sort(F.collect_list(F.struct("position", "part", "segment", "loss"))).alias("turns"))  # two TURNS at most
+    own = lambda part: f"filter(turns, t -> t.part = '{part}')"
+    joined = lambda part: F.expr(f"array_join(transform({own(part)}, t -> t.segment), '')").alias(part)
+    # the running length, and the spans of the turns that count
+    walk = "aggregate({}, named_struct('at', 0, 'spans', cast(array() as array<struct<start:int,end:int>>)), (a, t) -> named_struct('at', a.at + length(t.segment), 'spans', if(t.loss, concat(a.spans, array(named_struct('start', a.at, 'end', a.at + length(t.segment)))), a.spans)), a -> a.spans)"
+    mask = lambda part: F.expr(walk.format(own(part))).alias(f"{part}_mask")
+    return rows.select("pair_id", "chunk", joined("prompt"), joined("chosen"), mask("chosen"), joined("rejected"), mask("rejected"))

@@ -34,7 +34,9 @@ def op5_token_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations 2k and 2k + 1 are the chosen and the rejected one of pair k."""
     turns = table(spark, sf_dir, "conversations")
-    return preferences.segments(turns, F.shiftright("conv_id", 1), F.pmod("conv_id", F.lit(2)) == 0)
+    rows = preferences.paired(turns, F.shiftright("conv_id", 1), F.pmod("conv_id", F.lit(2)) == 0)
+    spans = lambda c: F.expr(f"array_join(transform({c}, x -> concat(x.start, '-', x.end)), ' ')").alias(c)
+    return rows.select("pair_id", "chunk", "prompt", "chosen", spans("chosen_mask"), "rejected", spans("rejected_mask"))
 
 
 def op7_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,9 +108,18 @@ with t as (
   group by 1
 ), p as (
   select t.*, (shared is null or position < shared) as is_prompt from t left join d using (pair_id)
+), s as (
+  select pair_id, position // 256 as chunk, position, case when is_prompt then 'prompt' when side = 0 then 'chosen' else 'rejected' end as part,
+    '<|' || coalesce(role, '') || '|>' || chr(10) || coalesce(text, '') || '<|end|>' || chr(10) as segment,
+    (not is_prompt and role is not distinct from 'assistant') as loss
+  from p where not (is_prompt and side = 1)
+), m as (
+  select *, sum(length(segment)) over (partition by pair_id, chunk, part order by position) as stop from s
 )
-select pair_id, case when is_prompt then 'prompt' when side = 0 then 'chosen' else 'rejected' end as part, position, turn, role,
-  '<|' || coalesce(role, '') || '|>' || chr(10) || coalesce(text, '') || '<|end|>' || chr(10) as segment,
-  (not is_prompt and role is not distinct from 'assistant') as loss
-from p where not (is_prompt and side = 1)
+select pair_id, chunk, coalesce(string_agg(segment, '' order by position) filter (part = 'prompt'), '') as prompt,
+  coalesce(string_agg(segment, '' order by position) filter (part = 'chosen'), '') as chosen,
+  coalesce(string_agg(cast(stop - length(segment) as varchar) || '-' || cast(stop as varchar), ' ' order by position) filter (part = 'chosen' and loss), '') as chosen_mask,
+  coalesce(string_agg(segment, '' order by position) filter (part = 'rejected'), '') as rejected,
+  coalesce(string_agg(cast(stop - length(segment) as varchar) || '-' || cast(stop as varchar), ' ' order by position) filter (part = 'rejected' and loss), '') as rejected_mask
+from m group by 1, 2
 """

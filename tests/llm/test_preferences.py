@@ -32,23 +32,44 @@ def test_the_prompt_is_the_longest_common_prefix(spark):
     assert len(got[5]["prompt"]) == 1 and got[6]["chosen"] == [(say("assistant", "q"), True)] and "rejected" not in got[6]
 
 
+def whole(df):
+    return P.paired(df, F.floor(F.col("conv_id") / 2), F.pmod("conv_id", F.lit(2)) == 0)
+
+
 def test_against_sql(spark):
-    rows = [t for t in TURNS if t[2] is not None]
+    rows = [t for t in TURNS if t[2] is not None] + [(20 + s, i, "user" if i % 2 else "assistant", "ä" * (i % 5) + ("x" if s and i > 300 else "")) for s in (0, 1) for i in range(600)]
     db = duckdb.connect()
     db.execute("create table conversations (conv_id bigint, turn bigint, role varchar, text varchar)")
     db.executemany("insert into conversations values (?, ?, ?, ?)", rows)
     want = db.execute(OP6_SQL).fetchall()
-    got = [tuple(r) for r in pairs(made(spark, rows)).collect()]
-    assert sorted(got) == sorted(want)
+    spans = lambda m: " ".join(f"{x['start']}-{x['end']}" for x in m)
+    got = [(r["pair_id"], r["chunk"], r["prompt"], r["chosen"], spans(r["chosen_mask"]), r["rejected"], spans(r["rejected_mask"])) for r in whole(made(spark, rows)).collect()]
+    assert sorted(got) == sorted(want) and len([r for r in got if r[0] == 10]) == 3
+
+
+def test_pairs_are_their_segments(spark):
+    parts, loss = {}, {}
+    for r in sorted(pairs(made(spark, TURNS)).collect(), key=lambda r: (r["pair_id"], r["part"], r["position"])):
+        k = (r["pair_id"], r["part"])
+        if r["loss"]:
+            loss.setdefault(k, []).append((len(parts.get(k, "")), len(parts.get(k, "")) + len(r["segment"])))
+        parts[k] = parts.get(k, "") + r["segment"]
+    rows = whole(made(spark, TURNS)).collect()
+    assert len(rows) == len({k for k, _ in parts})
+    for r in rows:
+        assert [r[p] for p in ("prompt", "chosen", "rejected")] == [parts.get((r["pair_id"], p), "") for p in ("prompt", "chosen", "rejected")]
+        for p in ("chosen", "rejected"):
+            assert [tuple(x) for x in r[f"{p}_mask"]] == loss.get((r["pair_id"], p), [])
 
 
 def test_odd_conversations(spark):
     rows = [(None, 0, "user", "x"), (1, None, "user", "last"), (1, 0, "user", "first"), (0, 0, "user", "first"), (0, 0, "user", "variant"), (0, 700, "assistant", "far")]
     got = pairs(made(spark, rows)).collect()
     assert len(got) == 4 + (0 if any(r["part"] == "prompt" for r in got) else 1)
-    assert pairs(made(spark, rows).where("false")).count() == 0
+    assert pairs(made(spark, rows).where("false")).count() == whole(made(spark, rows).where("false")).count() == 0
 
 
 def test_no_python_on_the_main_path(spark):
-    plan = pairs(made(spark, TURNS))._jdf.queryExecution().toString()
-    assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+    for df in (pairs(made(spark, TURNS)), whole(made(spark, TURNS))):
+        plan = df._jdf.queryExecution().toString()
+        assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
