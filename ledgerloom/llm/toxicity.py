@@ -1,9 +1,10 @@
 """Toxicity (3): nearest labelled examples by exact TF-IDF cosine, over block-max inverted indexes.
 
-Examples are labelled documents outside the held-out fold, at most ``MOST`` of either class. Terms
-are words and their beginnings of 4 to 8 bytes, which catch a stem under any ending; those are used whose
-presence differs between the classes (chi-squared of at least ``CHI``, the ``TERMS`` highest), so
-unrelated rare words do not make neighbours. A term weighs (1 + log tf) x idf, the
+Examples are labelled documents outside the held-out fold, at most ``MOST`` of either class. Features
+are words and their beginnings of 4 to 8 bytes, which catch a stem under any ending. The vocabulary is every feature
+whose presence differs between the classes beyond chance (chi-squared of at least ``CHI``), however many
+these are. Over all features of the examples the neighbours are those of like subject, and a few toxic words in
+a long text are lost among the others; the README has the figures. A term weighs (1 + log tf) x idf, the
 idf over all documents of the corpus, and vectors have length 1.
 
 The index keeps examples in blocks of ``BLOCK``; each (block, term) has its postings and each term the
@@ -13,7 +14,7 @@ blocks are visited from the highest bound down, and visiting stops where the bou
 smoothed towards the class share, and a logistic fitted on the examples' own leave-one-out votes
 makes the score. The three nearest examples are the evidence.
 
-The index is bounded by ``MOST`` and ``TERMS`` and broadcast; examples are labelled rows, of which a
+The index is bounded by the features of ``MOST`` examples of either class and broadcast; examples are labelled rows, of which a
 bounded sample is used; documents and idf are over all rows.
 
 Defined cases: null and empty texts and texts without a term have no neighbours and score the smoothed
@@ -39,9 +40,7 @@ from .decontaminate import words
 from .labelled import fold, logistic, sample, squashed
 
 MOST = 2048
-TERMS = 512
 CHI = 12.0
-LEAST_DF = 4
 STEMS = (4, 5, 6, 7, 8)
 NEAR = 25
 BLOCK = 64
@@ -53,17 +52,14 @@ def features(word: bytes) -> list[bytes]:
     return [word, *(word[:n] + b"*" for n in STEMS if len(word) > n)]
 
 
-def chosen_terms(counts: list[tuple[bytes, int, int]], n1: int, n0: int, most: int = TERMS) -> list[bytes]:
-    """The terms by chi-squared of presence against the class; counts: term, documents of class 1, of class 0."""
-    scored = []
+def distinctive(seen: DataFrame, n1: int, n0: int) -> DataFrame:
+    """The rows of ``seen`` (w, a documents of class 1, b of class 0) whose chi-squared, with Yates' correction, is at least ``CHI``."""
     n = n1 + n0
-    for term, a, b in counts:
-        c, d = n1 - a, n0 - b
-        den = (a + b) * (c + d) * n1 * n0
-        chi = n * max(0.0, abs(a * d - b * c) - n / 2) ** 2 / den if den else 0.0
-        if chi >= CHI:
-            scored.append((-chi, term))
-    return [t for _, t in sorted(scored)[:most]]
+    a, b = F.col("a").cast("double"), F.col("b").cast("double")
+    c, d = n1 - a, n0 - b
+    apart = F.greatest(F.lit(0.0), F.abs(a * d - b * c) - n / 2)
+    margins = (a + b) * (c + d) * n1 * n0
+    return seen.where((margins > 0) & (n * apart * apart >= CHI * margins))
 
 
 class Index:
@@ -172,10 +168,9 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", folds: in
 
     n = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     n1, n0 = n.get(1, 0), n.get(0, 0)
-    seen = rows.mapInPandas(presence, "w binary, a int, b int").groupBy("w").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where(F.col("a") + F.col("b") >= LEAST_DF)
-    # terms that pass the test in full; a bounded number, since the test is on a bounded sample
-    share = F.abs(F.col("a") / max(n1, 1) - F.col("b") / max(n0, 1))
-    terms = chosen_terms([(bytes(r["w"]), int(r["a"]), int(r["b"])) for r in seen.orderBy(share.desc(), "w").limit(20 * TERMS).collect()], n1, n0) if n1 and n0 else []
+    seen = rows.mapInPandas(presence, "w binary, a int, b int").groupBy("w").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    # features of a bounded sample
+    terms = sorted(bytes(r["w"]) for r in distinctive(seen, n1, n0).select("w").collect()) if n1 and n0 else []
     index = Index(terms, np.ones(len(terms)))
 
     blank = spark.sparkContext.broadcast(index)

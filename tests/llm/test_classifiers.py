@@ -77,3 +77,41 @@ def test_long_texts_are_compressed_whole():
     assert both.difference("good words and more of them " * 5000) > both.difference("BAD!! $$$ ### " * 5000)
     assert both.difference(None) == both.difference("") == 0.0
     assert sum(map(len, quality.pieces("é" * 5000))) == 10_000
+
+
+def test_score_by_plain_recomputation(spark):
+    """Dictionaries, sizes and calibration of op10 computed again from its definition, one text after another."""
+    import zstandard
+
+    docs, labels = labelled_docs(spark)
+    text = {r["doc_id"]: r["text"] for r in docs.collect()}
+    taught = {r["doc_id"]: r["quality"] for r in labels.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1}
+    half = {r["id"]: r["h"] for r in spark.createDataFrame([(i,) for i in taught], "id long").selectExpr("id", "pmod(xxhash64(id, 3), 2) as h").collect()}
+    cut = lambda t: [t.encode()[i : i + 1024] for i in range(0, len(t.encode()), 1024)]
+
+    def sizes(dictionary, t):
+        kind = zstandard.DICT_TYPE_FULLDICT if dictionary[:4] == b"\x37\xa4\x30\xec" else zstandard.DICT_TYPE_RAWCONTENT
+        c = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(dictionary, dict_type=kind), write_content_size=False, write_checksum=False, write_dict_id=False)
+        return sum(len(c.compress(p)) for p in cut(t))
+
+    good, bad = (quality.dictionary([p for i in sorted(taught) if taught[i] == y and half[i] == 0 for p in cut(text[i])]) for y in (1, 0))
+    differ = {i: (sizes(bad, t) - sizes(good, t)) / len(t.encode()) for i, t in text.items()}
+    seen = [i for i in sorted(taught) if half[i] == 1]
+    slope, offset = labelled.logistic([differ[i] for i in seen], [taught[i] for i in seen], np.mean(list(taught.values())))
+    for r in quality.scored(docs, labels).collect():
+        assert r["d"] == pytest.approx(differ[r["doc_id"]], abs=2e-2)
+        assert r["score"] == pytest.approx(float(labelled.squashed(r["d"], slope, offset)), abs=0.05)
+
+
+def test_terms_are_all_that_pass_the_test(spark):
+    rng = random.Random(12)
+    counts = [(f"w{i}".encode(), rng.randrange(40), rng.randrange(90)) for i in range(3000)]
+    seen = spark.createDataFrame([(bytearray(w), a, b) for w, a, b in counts], "w binary, a int, b int")
+    want = set()
+    for w, a, b in counts:
+        n1, n0 = 50, 100
+        table = np.array([[a, b], [n1 - a, n0 - b]], float)
+        expected = table.sum(1, keepdims=True) @ table.sum(0, keepdims=True) / table.sum()
+        if (expected > 0).all() and (np.maximum(abs(table - expected) - 0.5, 0) ** 2 / expected).sum() >= toxicity.CHI:
+            want.add(w)
+    assert {bytes(r["w"]) for r in toxicity.distinctive(seen, 50, 100).collect()} == want and len(want) > 600
