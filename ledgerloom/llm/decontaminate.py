@@ -6,10 +6,10 @@ item where it is shorter) is a pattern, so a match always covers whole words. A
 scanned once; a match's end is mapped back through the offsets of the word starts to the word
 positions, and to the byte span of the original text where spans are asked for.
 
-The automaton is built on each executor from the broadcast patterns. Patterns are cut into blocks of
-at most ``BLOCK_CHARS`` characters, which bounds an automaton's memory; there is one block unless the
-benchmark is very large, in which case texts pass the blocks one after another. A benchmark of more
-than ``MAX_CHARS`` pattern characters is refused rather than broadcast.
+Patterns are made and grouped on the executors. The automaton is built in each Python worker from the broadcast
+patterns. They are dealt by hash to blocks of about ``BLOCK_CHARS`` characters, of which the driver and the
+workers hold one at a time; there is one block unless the benchmark is very large, in which case texts pass
+the blocks one after another, whatever their number.
 
 Defined cases: a null or empty text, or one without words, has no words and no hits; an item without
 words has no windows; rows of one item_id are one item; an item without item_id marks words but is
@@ -21,17 +21,19 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_right
+from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..shipping import shipped
 from .common import checkpointed, kept_columns, mapped, own, restored
 
 WINDOW = 10
 BLOCK_CHARS = 4_000_000
-MAX_CHARS = 200_000_000
 
 _SEPARATORS = bytes([*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
 _TO_SPACE = bytes(32 if i in _SEPARATORS else i for i in range(256))
@@ -50,25 +52,27 @@ def windows(item: list[bytes], size: int = WINDOW) -> list[bytes]:
     return [b" " + b" ".join(item[i : i + size]) + b" " for i in range(max(1, len(item) - size + 1))]
 
 
-def patterns(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", size: int = WINDOW) -> list[dict[str, tuple]]:
-    """Blocks of patterns, each a mapping of a window to the ids of the items that have it."""
-    rows = own(benchmark, item=item_id, text=text).where("text is not null")
-    # windows overlap, so a text of n characters makes under about size * n pattern characters
-    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    if chars * size > MAX_CHARS:
-        raise ValueError(f"{chars} characters of benchmark are too many to broadcast")
-    found: dict[str, set] = {}
-    for row in rows.toLocalIterator():
-        for w in windows(words(row["text"]), size):
-            found.setdefault(w.decode("utf-8", "surrogatepass"), set()).update([] if row["item"] is None else [str(row["item"])])
-    blocks, room = [{}], BLOCK_CHARS
-    for w in sorted(found):
-        if room < len(w) and blocks[-1]:
-            blocks.append({})
-            room = BLOCK_CHARS
-        blocks[-1][w] = tuple(sorted(found[w]))
-        room -= len(w)
-    return blocks
+def patterns(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", size: int = WINDOW) -> DataFrame:
+    """w, a window, and items, the ids of the items that have it, in order; one row a window."""
+    shipped(benchmark.sparkSession)
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for item, t in zip(pdf["item"], pdf["text"], strict=True):
+                found = sorted({w.decode("utf-8", "surrogatepass") for w in windows(words(t), size)})
+                yield pd.DataFrame({"w": found, "item": [item] * len(found)}).astype(object)
+
+    rows = own(benchmark, item=F.col(f"`{item_id}`").cast("string"), text=text).where("text is not null")
+    return rows.mapInPandas(cut, "w string, item string").groupBy("w").agg(F.array_sort(F.collect_set("item")).alias("items"))
+
+
+def blocks_of(found: DataFrame) -> Iterator[tuple[bool, dict[str, tuple]]]:
+    """Blocks of patterns, each a mapping of a window to its items, and whether it is the last."""
+    found = checkpointed(found)
+    n = max(1, -(-(found.agg(F.sum(F.length("w"))).first()[0] or 0) // BLOCK_CHARS))
+    for k in range(n):
+        rows = found.where(F.pmod(F.xxhash64("w"), F.lit(n)) == k).collect()  # of BLOCK_CHARS characters, about
+        yield k == n - 1, {r["w"]: tuple(r["items"]) for r in sorted(rows, key=lambda r: r["w"])}
 
 
 def automaton(key, block: dict[str, tuple]):
@@ -131,11 +135,10 @@ def spans(text: str, ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def contamination(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = WINDOW, keep: tuple[str, ...] = (), with_spans: bool = False) -> DataFrame:
     """One row per document: doc_id, the columns in ``keep`` as _keep_0, _keep_1 and so on, n_words, ranges of hit words, items, byte spans."""
     spark = documents.sparkSession
-    blocks = patterns(benchmark, item_id, item_text, size)
     out = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"), *kept_columns(documents, keep))
     ranges = T.ArrayType(T.StructType([T.StructField("a", T.IntegerType()), T.StructField("b", T.IntegerType())]))
     arrow = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
-    for k, block in enumerate(blocks):
+    for k, (last, block) in enumerate(blocks_of(patterns(benchmark, item_id, item_text, size))):
         sent, key = spark.sparkContext.broadcast(block), uuid_of(block)
         names = [f"_n{k}", f"_h{k}", f"_i{k}", f"_s{k}"]
         added = T.StructType([T.StructField(n, t) for n, t in zip(names, (T.LongType(), ranges, T.ArrayType(T.StringType()), ranges), strict=True)])
@@ -151,11 +154,12 @@ def contamination(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc
 
             return scanned
 
-        out = mapped(out.withColumn("_t", F.col("_text")) if k < len(blocks) - 1 else out.withColumnRenamed("_text", "_t"), "_t", added, made)
-        if k < len(blocks) - 1:
+        out = mapped(out.withColumnRenamed("_text", "_t") if last else out.withColumn("_t", F.col("_text")), "_t", added, made)
+        if not last:
             out = checkpointed(out)
-    n = range(len(blocks))
-    if len(blocks) == 1:
+            sent.unpersist()
+    n = range(k + 1)
+    if k == 0:
         return out.withColumnsRenamed({"_n0": "n_words", "_h0": "hits", "_i0": "items", "_s0": "spans"})
     union = lambda c: F.expr(MERGE.format(f"array_sort(flatten(array({', '.join(f'_{c}{k}' for k in n)})))"))
     out = out.withColumns({"n_words": F.col("_n0"), "hits": union("h"), "items": F.array_sort(F.array_distinct(F.flatten(F.array(*(F.col(f"_i{k}") for k in n))))), "spans": union("s")})

@@ -60,7 +60,13 @@ def test_odd_documents(spark, odd, none):
     assert D.decontaminate(odd, bench.where("false")).count() == odd.count()
 
 
-def test_a_large_benchmark_is_refused(spark, monkeypatch):
-    monkeypatch.setattr(D, "MAX_CHARS", 100)
-    with pytest.raises(ValueError):
-        D.patterns(spark.createDataFrame([(1, "x" * 50)], "item_id long, text string"))
+def test_a_large_benchmark_passes_in_blocks(spark, monkeypatch):
+    items = [(i, prose(100 + i, 14)) for i in range(30)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    monkeypatch.setattr(D, "BLOCK_CHARS", 2000)
+    blocks = list(D.blocks_of(D.patterns(bench)))
+    assert len(blocks) > 3 and [last for last, _ in blocks] == [False] * (len(blocks) - 1) + [True]
+    assert sorted(w for _, b in blocks for w in b) == sorted({w.decode() for _, t in items for w in D.windows(D.words(t))})
+    docs = [(i, prose(200 + i, 9) + " " + prose(100 + i, 14) + " " + prose(300 + i, 9), "s") for i in range(0, 60, 4)]
+    got = [tuple(r) for r in D.report(D.contamination(frame(spark, docs), bench)).collect()]
+    assert sorted(got) == sorted(brute(docs, items)) and sum(r[5] for r in got) == 8
