@@ -102,7 +102,7 @@ def links(index: DataFrame, radius: int = RADIUS, long: int = LONG) -> DataFrame
     if not 0 <= radius <= 2:
         raise ValueError("the index guarantees pairs of at most two differing bits")
     posted = postings(index).repartition("place", "value")
-    lengths = posted.groupBy("place", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    lengths = posted.groupBy("place", "value").agg(F.count("fp").alias("n")).where("n > 1")  # of fp, so that both read one shuffle
     shared = checkpointed(posted.join(lengths, ["place", "value"]).select("place", "value", "fp", (F.col("n") > long).alias("long")))
     short = shared.where("not long")
     # count filter: meetings per pair, of which linked pairs have a guaranteed number
