@@ -8,7 +8,7 @@ document; a source that runs out (at ``REPEATS`` times its size) leaves its shar
 
 Cumulative tokens come from ``prefix_sums`` over hash ranges of a source. The queued documents, slim rows of
 a few numbers, are range-sorted by (finish time, source, round, place in the source) into ranges of
-about ``PIECE_ROWS``; the ranges' totals tell in which one the budget ends, and only that one is summed row by
+about ``RANGE_ROWS``; the ranges' totals tell in which one the budget ends, and only that one is summed row by
 row. What was served is, for each source, its queue up to a last document, so the documents
 themselves meet one row a source: no text is shuffled and no task holds a source.
 
@@ -31,8 +31,10 @@ from .common import checkpointed, prefix_sums
 WEIGHTS = (5.0, 2.0, 1.0)
 REPEATS = 3
 SEED = 17
-#: Rows that may meet in one task's window, about.
-PIECE_ROWS = 20_000
+#: Rows of a source that meet in one window, about; rows of a range of finish times, and ranges at most.
+PIECE_ROWS = 2_000
+RANGE_ROWS = 20_000
+RANGES = 10_000
 #: Rows of under 100 bytes and a source's name that may be broadcast.
 BROADCAST_ROWS = 100_000
 
@@ -94,7 +96,7 @@ def queued(slim: DataFrame, goal: DataFrame, repeats: int) -> DataFrame:
 def served(copies: DataFrame, budget: float) -> DataFrame:
     """The rows of ``queued`` in the order of finish times, up to where the next one would exceed ``budget``."""
     order = ["finish", "rank", "round", "h", "doc_id", "size"]
-    ranges = max(1, -(-copies.count() // PIECE_ROWS))
+    ranges = max(1, min(RANGES, -(-copies.count() // RANGE_ROWS)))
     sorted_ = checkpointed(copies.repartitionByRange(ranges, *order).withColumn("range", F.spark_partition_id()))
     # one short row a range
     ahead = W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)

@@ -30,7 +30,7 @@ from .common import checkpointed, prefix_sums
 
 SHARDS = 16
 ROUNDS = 2
-PIECE_ROWS = 20_000
+PIECE_ROWS = 2_000
 
 
 def cheapest_flow(supply: list[int], capacity: list[int], cost=None) -> dict[tuple[int, int], int]:

@@ -35,6 +35,7 @@ def check(rows):
 
 def test_targets_are_met(spark, monkeypatch):
     monkeypatch.setattr(M, "PIECE_ROWS", 50)
+    monkeypatch.setattr(M, "RANGE_ROWS", 100)
     rows = [(i, prose(i, 1 + i % 37), "hot" if i % 3 else f"s{i % 10}") for i in range(900)] + [(2000, prose(1, 5), "tiny"), (2001, prose(1, 9), "a-small")]
     df = frame(spark, rows)
     got = M.mixed(df).collect()
@@ -84,6 +85,7 @@ def queue(rows, budget, weights=(5, 2, 1)):
 
 def test_as_served_from_a_heap(spark, monkeypatch):
     monkeypatch.setattr(M, "PIECE_ROWS", 60)
+    monkeypatch.setattr(M, "RANGE_ROWS", 90)
     texts = [(i, "" if i % 11 == 0 else prose(i, 1 + i * i % 43), None if i % 13 == 0 else "hot" if i % 3 else f"s{i % 7}") for i in range(600)]
     for share in (1.0, 0.4, 5.0):
         df = frame(spark, texts)
