@@ -21,6 +21,9 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
     The folder is the session's ``spark.checkpoint.dir``. Only a local session may go without that
     setting; a folder of this machine is then used, which no other executor would need to read.
+
+    The shuffles that led to ``df`` are not needed any more. Spark deletes the files of those that the driver's
+    garbage collector has found unreachable, so it is asked to look; else they stay on the executors' disks.
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
@@ -30,7 +33,9 @@ def checkpointed(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             folder = f"{LOCAL_CHECKPOINTS}/{uuid.uuid4().hex}"
         sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    sc._jvm.System.gc()
+    return out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -101,7 +106,7 @@ def components(edges: DataFrame, u: str = "u", v: str = "v", most: int = 60) ->
         # large-star: neighbours above a node hang on the smallest node around it
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         # small-star: a node and its smaller neighbours hang on the smallest of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
