@@ -40,14 +40,16 @@ def mid_band(rows: DataFrame, amount: str, low: float, high: float) -> DataFrame
 def flow_groups(rows: DataFrame, sender: str, receiver: str, amount: str, at_least: int = 3, total: float = 1_000_000) -> dict[str, DataFrame]:
     """Repeated routes, fan-out and fan-in: groups of enough transfers and total, fans with two counterparties or more."""
 
-    def groups(keys: list[str], others: str | None) -> DataFrame:
-        aggs = [F.count(F.lit(1)).alias("n"), F.sum(amount).alias("total")]
-        if others:
-            aggs.append(F.countDistinct(others).alias("others"))
-        g = rows.groupBy(*keys).agg(*aggs).where((F.col("n") >= at_least) & (F.col("total") >= total))
-        return g.where("others >= 2") if others else g
-
-    return {"route": groups([sender, receiver], None), "fan_out": groups([sender], receiver), "fan_in": groups([receiver], sender)}
+    # rows are read once, into one row a pair; all three follow from these
+    pairs = rows.groupBy(sender, receiver).agg(F.count(F.lit(1)).alias("n"), F.sum(amount).alias("total"))
+
+    def enough(g: DataFrame) -> DataFrame:
+        return g.where((F.col("n") >= at_least) & (F.col("total") >= total))
+
+    def fan(own: str, others: str) -> DataFrame:
+        return enough(pairs.groupBy(own).agg(F.sum("n").alias("n"), F.sum("total").cast(pairs.schema["total"].dataType).alias("total"), F.count(others).alias("others"))).where("others >= 2")
+
+    return {"route": enough(pairs), "fan_out": fan(sender, receiver), "fan_in": fan(receiver, sender)}
 
 
 def clustered(rows: DataFrame, key: str, sender: str, receiver: str, amount: str, at_least: int = 3, total: float = 1_000_000) -> DataFrame:

@@ -155,19 +155,6 @@ def reconciled(wallets: DataFrame, deltas: DataFrame, key: str, tx: str, ledger:
     return j.select(key, status.alias("status"), reason.alias("reason"), F.col("considered"), F.when(status == "CONTRADICTION", observed - explained).alias("unexplained"))
 
 
-def chain_breaks(rows: DataFrame, keys: list[str], version: str, parent: str, own: str) -> DataFrame:
-    """Links of a hash chain with whether each follows the one before it: LINKED, FIRST, GAP or BROKEN.
-
-    A chain is one row a version; windows run per chain.
-    """
-    w = W.partitionBy(*keys).orderBy(version)
-    state = (
-        F.when(F.lag(version).over(w).isNull(), "FIRST").when(F.col(version) != F.lag(version).over(w) + 1, "GAP")
-        .when(F.col(parent).eqNullSafe(F.lag(own).over(w)), "LINKED").otherwise("BROKEN")
-    )
-    return rows.select(*keys, version, state.alias("state"))
-
-
 def floor_ledger(rows: DataFrame, ledger: str, close: str, moment: Column) -> DataFrame:
     """The last ledger that closed before a moment."""
     return rows.where(F.col(close) < moment).agg(F.max_by(ledger, F.struct(close, ledger)).alias("ledger"), F.max(close).alias("close"))

@@ -12,8 +12,8 @@ from .registry import query
 LOW, HIGH, TOTAL = 10_000, 100_000, 100_000
 
 
-def _band(spark, d):
-    return P.mid_band(transfers(spark, d), "amount", LOW, HIGH)
+def _band(spark, d, *more):
+    return P.mid_band(transfers(spark, d, ["tx_hash", "sender", "receiver", "amount", *more]), "amount", LOW, HIGH)
 
 
 @query("p1_repeated_limit_price", """
@@ -77,7 +77,7 @@ select kind, count(*) as n, cast(sum(amount) as double) as total from band b
 where exists (select 1 from r where r.sender = b.sender and r.receiver = b.receiver) or sender in (select sender from o) or receiver in (select receiver from i)
 group by 1""")
 def _(spark, d):
-    c = P.clustered(_band(spark, d), "tx_hash", "sender", "receiver", "amount", 3, TOTAL)
+    c = P.clustered(_band(spark, d, "kind"), "tx_hash", "sender", "receiver", "amount", 3, TOTAL)
     return c.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum("amount").cast("double").alias("total"))
 
 
@@ -122,7 +122,7 @@ def _(spark, d):
 with c as (select sender, receiver, count(*) as c from transfers group by 1, 2)
 select sender, sum(c)::bigint as n, cast(max(c) as double) / sum(c) as concentration from c group by 1""")
 def _(spark, d):
-    return P.concentration(transfers(spark, d), "sender", "receiver")
+    return P.concentration(transfers(spark, d, ["tx_hash", "sender", "receiver"]), "sender", "receiver")
 
 
 @query("p11_coordination", """
@@ -131,7 +131,7 @@ days as (select distinct day from big order by day desc limit 30),
 s as (select * from big where day in (select day from days))
 select a.receiver as a, b.receiver as b, count(*) as n from s a join s b on a.day = b.day and a.receiver < b.receiver group by 1, 2 having count(*) >= 1""")
 def _(spark, d):
-    big = transfers(spark, d).where("amount >= 95000").select(F.to_date("ts").alias("day"), "receiver")
+    big = transfers(spark, d, ["ts", "receiver", "amount"]).where("amount >= 95000").select(F.to_date("ts").alias("day"), "receiver")
     return P.co_occurrence(big, "day", "receiver", 30, 1)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import evidence as E
 from ..operators import proof as I
 from ..sources.tables import table, transfers
 from .registry import query
@@ -15,16 +16,17 @@ _RS = _R.replace("'5-' || o_custkey", "concat('5-', o_custkey)").replace("'32570
 
 
 @query("i1_parse_ranges", f"""
-with r as (select o_orderkey as id, {_R} as expr from orders where o_orderkey < 3000),
+with r as (select o_orderkey as id, {_R} as expr from orders),
 p as (select id, trim(part) as part, regexp_matches(trim(part), '^\\d+(-\\d+)?$') as ok from (select id, unnest(string_split(trim(expr), ',')) as part from r where trim(expr) not in ('', 'empty'))),
-q as (select id, cast(string_split(part, '-')[1] as bigint) as lo, cast(string_split(part, '-')[-1] as bigint) as hi from p where id not in (select id from p where not ok)),
+q as (select id, cast(string_split(part, '-')[1] as bigint) as lo, cast(string_split(part, '-')[-1] as bigint) as hi from p anti join (select id from p where not ok) using (id)),
 g as (select id from q group by 1 having bool_and(hi >= lo)),
-m as (select *, max(hi) over (partition by id order by lo, hi rows between unbounded preceding and 1 preceding) as reach from q where id in (select id from g)),
+m as (select *, max(hi) over (partition by id order by lo, hi rows between unbounded preceding and 1 preceding) as reach from q semi join g using (id)),
 n as (select *, sum(case when reach is null or lo > reach + 1 then 1 else 0 end) over (partition by id order by lo, hi rows unbounded preceding) as island from m),
-i as (select id, island, min(lo) as lo, max(hi) as hi from n group by 1, 2)
-select r.id, case when trim(expr) in ('', 'empty') then '' else (select string_agg(lo || '-' || hi, ',' order by lo) from i where i.id = r.id) end as ranges from r""", views=False)
+i as (select id, island, min(lo) as lo, max(hi) as hi from n group by 1, 2),
+j as (select id, string_agg(lo || '-' || hi, ',' order by lo) as ranges from i group by 1)
+select r.id, case when trim(expr) in ('', 'empty') then '' else j.ranges end as ranges from r left join j using (id)""", views=False)
 def _(spark, d):
-    r = table(spark, d, "orders").where("o_orderkey < 3000").select(F.col("o_orderkey").alias("id"), I.parse_ranges(F.expr(_RS)).alias("r"))
+    r = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), I.parse_ranges(F.expr(_RS)).alias("r"))
     return r.select("id", F.expr("array_join(transform(r, x -> concat(x.lo, '-', x.hi)), ',')").alias("ranges"))
 
 
@@ -34,7 +36,7 @@ m as (select *, max(hi) over (partition by k order by lo, hi rows between unboun
 n as (select *, sum(case when reach is null or lo > reach + 1 then 1 else 0 end) over (partition by k order by lo, hi rows unbounded preceding) as island from m)
 select k, min(lo) as lo, max(hi) as hi, count(*) as pieces from n group by k, island""")
 def _(spark, d):
-    q = transfers(spark, d).select(F.col("receiver").alias("k"), F.expr("ledger div 10").alias("lo"), F.expr("ledger div 10 + tx_index").alias("hi"))
+    q = transfers(spark, d, ["receiver", "ledger", "tx_index"]).select(F.col("receiver").alias("k"), F.expr("ledger div 10").alias("lo"), F.expr("ledger div 10 + tx_index").alias("hi"))
     return I.merged_ranges(q, ["k"], "lo", "hi")
 
 
@@ -189,31 +191,67 @@ def _(spark, d):
     return named.join(seen, ["tx_hash", "address"], "left_anti").select("tx_hash", "address")
 
 
+_PAIR = "o_orderkey div 2 as chain, 1 + o_orderkey % 2 as version"
+
+
 @query("i15_chain_verify", """
-with v as (select o_custkey as k, o_orderkey as v, sha256(cast(o_orderkey as varchar)) as own, lag(o_orderkey) over (partition by o_custkey order by o_orderkey) as pv from orders where o_orderkey % 17 <> 0 or o_custkey % 2 = 0)
-select k, v as version, case when pv is null then 'FIRST' when v <> pv + 1 then 'GAP' when v % 3 = 0 then 'BROKEN' else 'LINKED' end as state from v""", views=False)
+with s as (select o_orderkey // 2 as chain, 1 + o_orderkey % 2 as version, o_orderkey as o, cast(epoch(o_orderdate) as bigint) as proven, case when o_custkey % 4 > 0 then o_custkey % 5 end as horizon, case when o_custkey % 2 = 0 then o_custkey % 3 end as admitted from orders),
+b as (select n.*, w.o as was, w.proven as wp, w.horizon as wh, w.admitted as wa from s n join s w on w.chain = n.chain and w.version = 1 and n.version = 2)
+select chain, version, 'DIGEST_MISMATCH' as problem, cast(null as varchar) as address from s where o % 11 = 0 union all select chain, version, 'WALLET_COUNT_MISMATCH', null from s where o % 13 = 0
+union all select chain, version, 'PREVIOUS_DIGEST_MISMATCH', null from b where was % 11 = 0 union all select chain, version, 'CHAIN_BROKEN', null from b where was % 11 = 0
+union all select chain, version, 'CHECKPOINT_MOVED_BACKWARDS', 'w' from b where proven < wp union all select chain, version, 'HISTORY_HORIZON_CHANGED', 'w' from b where wh is not null and horizon is distinct from wh
+union all select chain, version, 'ADMISSION_LEDGER_CHANGED', 'w' from b where admitted is distinct from wa""", views=False)
 def _(spark, d):
-    o = table(spark, d, "orders").where("o_orderkey % 17 <> 0 or o_custkey % 2 = 0")
-    h = lambda c: F.sha2(c.cast("string").cast("binary"), 256)
-    rows = o.select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("version"), h(F.col("o_orderkey")).alias("own"), h(F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderkey") - 1).otherwise(-1)).alias("parent"))
-    return I.chain_breaks(rows, ["k"], "version", "parent", "own")
+    """Two states a chain, sealed as they were made; some are altered later, some name another number of wallets."""
+    o = table(spark, d, "orders")
+    w = o.selectExpr(*_PAIR.split(", "), "'w' as address", "unix_timestamp(o_orderdate) as proven", "if(o_custkey % 4 > 0, o_custkey % 5, null) as horizon", "if(o_custkey % 2 = 0, o_custkey % 3, null) as admitted", "'1' as balance", "1L as balance_ledger")
+    s = o.selectExpr(*_PAIR.split(", "), "o_orderkey", "o_orderkey as anchor", "if(o_orderkey % 13 = 0, 2L, 1L) as wallet_count")
+    none = F.lit(None).cast("string")
+    first = E.with_digest(s.where("version = 1").withColumn("previous", none), w).withColumn("own", F.col("digest"))
+    second = s.where("version = 2").join(first.select("chain", F.col("own").alias("previous")), "chain", "left")
+    second = E.with_digest(second, w).withColumn("own", F.col("digest"))
+    states = first.unionByName(second).drop("n", "digest").withColumn("own", F.when(F.col("o_orderkey") % 11 == 0, "altered").otherwise(F.col("own")))
+    return E.chain_problems(states.drop("o_orderkey"), w)
 
 
 @query("i16_ledger_index_chain", """
-select ledger, count(*) as n, bool_and(tx_index = rn) as contiguous from (select ledger, tx_index, row_number() over (partition by ledger order by tx_index) as rn from transfers) group by 1""")
+with l as (select o_orderkey as ledger, case when o_orderkey % 41 > 0 then 'h' || o_orderkey end as own, 'h' || (o_orderkey - case when o_orderkey % 7 = 0 then 2 else 1 end) as parent from orders),
+g as (select ledger, count(*) as n, count(distinct tx_index) as u, min(tx_index) as lo, max(tx_index) as hi from transfers group by 1)
+select ledger, 'HASH_MISSING' as problem from l where own is null union all select l.ledger, 'PARENT_HASH_MISMATCH' from l join l p on p.ledger = l.ledger - 1 where l.parent is distinct from p.own
+union all select ledger, 'INDEX_NOT_CONTIGUOUS' from l join g using (ledger) where not (lo = 1 and hi = n and u = n)""")
 def _(spark, d):
-    # contiguous from one: as many as the highest, and no index twice
-    g = transfers(spark, d).groupBy("ledger").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("tx_index").alias("u"), F.max("tx_index").alias("m"), F.min("tx_index").alias("l"))
-    return g.select("ledger", "n", ((F.col("l") == 1) & (F.col("m") == F.col("n")) & (F.col("u") == F.col("n"))).alias("contiguous"))
+    ledgers = table(spark, d, "orders").selectExpr("o_orderkey as ledger", "if(o_orderkey % 41 > 0, concat('h', o_orderkey), null) as own", "concat('h', o_orderkey - if(o_orderkey % 7 = 0, 2, 1)) as parent")
+    txs = transfers(spark, d, ["ledger", "tx_index"]).select("ledger", (F.col("tx_index") - 1).alias("i"))
+    return E.block_problems(ledgers, txs, "ledger", "own", "parent", "i")
 
 
 @query("i17_state_advance", """
-with v as (select o_custkey as k, o_orderkey as v, o_orderdate as close, lag(o_orderkey) over w as pv, lag(o_orderdate) over w as pc, o_totalprice as floor_, lag(o_totalprice) over w as pf from orders window w as (partition by o_custkey order by o_orderkey))
-select k, count(*) as states, count(*) filter (close < pc) as close_went_back, count(*) filter (floor_ < pf) as floor_went_down, count(*) filter (close >= pc and floor_ >= pf) as accepted from v group by 1""", views=False)
+with w as (select o_custkey as k, o_orderkey as o, o_orderkey % 5 = 0 as new from orders),
+f as (select *, case when o % 53 = 0 then null when o % 61 = 0 then 999 when o % 59 = 0 then 99 when new then 200 else 150 end as proven, case when o % 73 = 0 then 11 when new then 50 else 10 end as horizon,
+  new and o % 71 > 0 as admitting, o % 67 > 0 as pinned from w where o % 97 > 0),
+x as (select k, o, case when new and not admitting then 'RUN_WALLET_NOT_IN_STATE' when new and proven is distinct from 200 then 'ADMISSION_CHECKPOINT_UNEARNED' when not new and horizon <> 10 then 'HISTORY_HORIZON_REWRITTEN'
+  when proven is null then 'RUN_WALLET_UNPROVEN' when not new and proven < 100 then 'CHECKPOINT_WOULD_MOVE_BACKWARDS' when proven > 200 then 'CHECKPOINT_PAST_ANCHOR' when not pinned then 'BALANCE_NOT_PINNED' end as reason from f),
+t as (select k, count(*) as t from f group by 1), y as (select k, arg_min(reason, o) as reason, cast(min(o) as varchar) as address from x where reason is not null group by 1),
+z as (select k, min(cast(o as varchar)) as gone from w where not new and o % 97 = 0 group by 1),
+h as (select c_custkey as k, case when c_custkey % 19 = 0 then 'STATE_MISSING' when c_custkey % 17 = 0 then 'STATE_DIGEST_MISMATCH' when c_custkey % 23 = 0 then 'RUN_ANCHOR_MISSING' when c_custkey % 29 = 0 then 'RUN_ANCHOR_NOT_AHEAD'
+  when t is null then 'RUN_TARGET_UNKNOWN' when c_custkey % 31 = 0 then 'RUN_INCOMPLETE' when c_custkey % 37 = 0 then 'RUN_CONTRADICTED' when c_custkey % 41 = 0 then 'RUN_SHARDS_MISSING' when c_custkey % 43 = 0 then 'RUN_SHARD_UNHASHED' end as head
+  from customer left join t on t.k = c_custkey)
+select h.k as chain, coalesce(head, y.reason, case when gone is not null then 'WALLET_DROPPED_FROM_STATE' end) as reason, reason is null as advances,
+  case when head is not null then null when y.reason is not null then y.address else gone end as address, case when coalesce(head, y.reason, gone) is null then 2 end as next_version, case when coalesce(head, y.reason, gone) is null then 200 end as next_anchor
+from h left join y using (k) left join z using (k)""".replace("reason is null as advances", "coalesce(head, y.reason, gone) is null as advances"), views=False)
 def _(spark, d):
-    from pyspark.sql import Window as W
-
-    w = W.partitionBy("o_custkey").orderBy("o_orderkey")
-    v = table(spark, d, "orders").withColumn("pc", F.lag("o_orderdate").over(w)).withColumn("pf", F.lag("o_totalprice").over(w))
-    back, down = F.col("o_orderdate") < F.col("pc"), F.col("o_totalprice") < F.col("pf")
-    return v.groupBy(F.col("o_custkey").alias("k")).agg(F.count(F.lit(1)).alias("states"), F.count_if(back).alias("close_went_back"), F.count_if(down).alias("floor_went_down"), F.count_if(~back & ~down).alias("accepted"))
+    """Customers are chains and their orders wallets; every fifth wallet is new to the state."""
+    c = table(spark, d, "customer").selectExpr("c_custkey as chain")
+    w = table(spark, d, "orders").selectExpr("o_custkey as chain", "o_orderkey as position", "cast(o_orderkey as string) as address", "o_orderkey % 5 = 0 as new")
+    wallets = w.where("not new and chain % 19 > 0").selectExpr("chain", "1L as version", "address", "100L as proven", "10L as horizon", "cast(null as bigint) as admitted", "'1' as balance", "1L as balance_ledger")
+    states = c.where("chain % 19 > 0").selectExpr("chain", "1L as version", "cast(null as string) as previous", "100L as anchor", "1L as wallet_count")
+    states = E.with_digest(states, wallets).withColumn("own", F.when(F.col("chain") % 17 == 0, "altered").otherwise(F.col("digest"))).drop("n", "digest")
+    found = w.where("position % 97 > 0").selectExpr(
+        "chain", "position", "new and position % 71 > 0 as admitting", "address", "case when position % 53 = 0 then null when position % 61 = 0 then 999L when position % 59 = 0 then 99L when new then 200L else 150L end as proven",
+        "case when position % 73 = 0 then 11L when new then 50L else 10L end as horizon", "if(new, 200L, null) as admitted", "'1' as balance", "if(position % 67 > 0, 1L, null) as balance_ledger",
+    )
+    runs = c.join(found.groupBy("chain").agg(F.count(F.lit(1)).alias("target")), "chain", "left").selectExpr(
+        "chain", "case when chain % 23 = 0 then null when chain % 29 = 0 then 100L else 200L end as anchor", "target", "if(chain % 31 = 0, target - 1, target) as complete", "if(chain % 37 = 0, 1, 0) as contradictions",
+        "if(chain % 41 = 0, null, array(named_struct('path', 'days/1', 'sha256', if(chain % 43 = 0, 'xyz', repeat('a', 64))))) as shards",
+    )
+    return E.advanced(states, wallets, runs, found)

@@ -71,7 +71,7 @@ select (select count(*) from w) as observed, (select count(*) from w where resul
   (select cast(sum(amount) as double) from w where kind = 'A') as sold, (select cast(sum(amount) as double) from w where kind = 'R') as bought,
   (select count(distinct account) from flags where kind = 'REPEATED_LIMIT_PRICE') as repeated_price_wallets, (select count(distinct account) from flags where kind = 'REPEATED_CONFIRMED_CANCEL') as cancel_wallets""")
 def _(spark, d):
-    w = transfers(spark, d).where("ts > timestamp_ntz'2000-01-01' and ts <= timestamp_ntz'2000-01-31'")  # open at the start
+    w = transfers(spark, d, until="2000-01-31").where("ts > timestamp_ntz'2000-01-01' and ts <= timestamp_ntz'2000-01-31'")  # open at the start
     done = F.col("result") == "F"
     one = w.agg(
         F.count(F.lit(1)).alias("observed"), F.count_if(done).alias("classified"), F.count_if(~done & (F.col("kind") == "N")).alias("excluded"),
@@ -124,7 +124,7 @@ def _(spark, d):
 @query("a11_distinct_in_window", """
 select count(distinct tx_hash) as n from transfers t where ts between timestamp '1998-01-01' and timestamp '1999-01-01' and exists (select 1 from supplier where s_suppkey = t.receiver and s_acctbal > 5000)""")
 def _(spark, d):
-    t = transfers(spark, d).where("ts between timestamp_ntz'1998-01-01' and timestamp_ntz'1999-01-01'")
+    t = transfers(spark, d, until="1999-01-01").where("ts between timestamp_ntz'1998-01-01' and timestamp_ntz'1999-01-01'")
     watched = table(spark, d, "supplier").where("s_acctbal > 5000").select(F.col("s_suppkey").alias("receiver"))
     return t.join(watched, "receiver", "left_semi").agg(F.countDistinct("tx_hash").alias("n"))
 
@@ -152,9 +152,9 @@ def _(spark, d):
 
 
 @query("a14_failures_by_cause", """
-select o_orderpriority as cause, count(*) as n, array_to_string(list_sort(list(distinct o_custkey)), ',') as addresses, max(o_custkey % 4) as attempts from orders where o_orderstatus = 'P' and o_custkey < 200 group by 1""", views=False)
+select o_orderpriority as cause, count(*) as n, array_to_string(list_sort(list(distinct o_custkey)), ',') as addresses, max(o_custkey % 4) as attempts from orders where o_orderstatus = 'P' group by 1""", views=False)
 def _(spark, d):
-    o = table(spark, d, "orders").where("o_orderstatus = 'P' and o_custkey < 200").select(F.col("o_orderpriority").alias("cause"), F.col("o_custkey").alias("k"), (F.col("o_custkey") % 4).alias("a"))
+    o = table(spark, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_orderpriority").alias("cause"), F.col("o_custkey").alias("k"), (F.col("o_custkey") % 4).alias("a"))
     return R.failures(o, "cause", "k", "a").withColumn("addresses", F.array_join(F.col("addresses").cast("array<string>"), ","))
 
 
@@ -217,14 +217,14 @@ def _(spark, d):
 
 @query("a26_roster_union", """
 with u as (
-  select c_custkey as address, c_name as name, case when c_custkey % 2 = 0 then c_mktsegment end as segment, 0 as rank, 'report' as source from customer where c_custkey < 300
+  select c_custkey as address, c_name as name, case when c_custkey % 2 = 0 then c_mktsegment end as segment, 0 as rank, 'report' as source from customer where c_acctbal > 0
   union all select s_suppkey, s_name, null, 1, 'wall' from supplier
   union all select c_custkey, null, c_mktsegment, 2, 'registry' from customer where c_custkey % 3 = 0)
 select address, first(name order by rank) filter (name is not null) as name, first(segment order by rank) filter (segment is not null) as segment,
   array_to_string(list_sort(list(distinct source)), ',') as sources from u group by 1""", views=False)
 def _(spark, d):
     c, s, none = table(spark, d, "customer"), table(spark, d, "supplier"), F.lit(None).cast("string")
-    report = c.where("c_custkey < 300").select(F.col("c_custkey").alias("address"), F.col("c_name").alias("name"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_mktsegment")).alias("segment"))
+    report = c.where("c_acctbal > 0").select(F.col("c_custkey").alias("address"), F.col("c_name").alias("name"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_mktsegment")).alias("segment"))
     wall = s.select(F.col("s_suppkey").alias("address"), F.col("s_name").alias("name"), none.alias("segment"))
     registry = c.where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("address"), none.alias("name"), F.col("c_mktsegment").alias("segment"))
     m = M.fieldwise_union([("report", report), ("wall", wall), ("registry", registry)], "address", ["name", "segment"])

@@ -26,12 +26,22 @@ def sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per transaction: its first sighting. An aggregate, so partial rows are merged before the shuffle."""
+def transfers(spark: SparkSession, sf_dir: str, columns: list[str] | None = None, until: str | None = None) -> DataFrame:
+    """One row per transaction: its first sighting.
+
+    An aggregate by the ledger's own keys, so partial rows are merged before the shuffle, and the shuffle of the join with orders, where
+    there is one, serves it too. ``columns`` names what is wanted of it; the order of arrival is then followed only as far as these need, and
+    nothing else is read. ``until`` is a moment after which no wanted transaction was first seen: later sightings are never first then, and the
+    bound reaches the scan.
+    """
     s = sightings(spark, sf_dir)
-    rest = [c for c in s.columns if c not in ("tx_hash", *ARRIVAL)]
-    first = s.groupBy("tx_hash").agg(F.min(F.struct(*ARRIVAL, *rest)).alias("x"))
-    return first.select("tx_hash", *(F.col(f"x.{c}").alias(c) for c in s.columns if c != "tx_hash"))
+    if until is not None:
+        s = s.where(F.col("ts").isNull() | (F.col("ts") <= F.lit(until).cast("timestamp_ntz")))
+    keys, wanted = ["ledger", "tx_index", "sender"], columns or s.columns
+    order = ARRIVAL[: max([k + 1 for k, c in enumerate(ARRIVAL) if c in wanted], default=1)]
+    first = s.groupBy(*keys).agg(F.min(F.struct(*order)).alias("x"))
+    own = {c: F.col(c) for c in keys} | {c: F.col(f"x.{c}") for c in order} | {"tx_hash": F.concat_ws("-", F.col("ledger").cast("string"), F.col("tx_index").cast("string"))}
+    return first.select(*(own[c].alias(c) for c in s.columns if c in wanted))
 
 
 def activity(spark: SparkSession, sf_dir: str) -> DataFrame:
