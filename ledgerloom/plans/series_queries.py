@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import headlines as H
 from ..operators import series as S
+from ..shipping import shipped
 from ..sources.tables import activity, table, transfers
 from .registry import query
 
@@ -158,11 +159,22 @@ def _(spark, d):
     return t.groupBy("title").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "title")
 
 
+def _titles(spark, d):
+    """A document's first line is its title; feeds are source and language, and a feed's day has a thousand ids."""
+    t = table(spark, d, "documents")
+    return t.select("doc_id", F.concat_ws("/", "source", "lang").alias("feed"), F.expr("doc_id div 1000").alias("day"), F.split("text", "\n", 2)[0].alias("headline"))
+
+
 @query("p20_headline_dedupe")
 def _(spark, d):
-    """Greedy within (source, lang, day-like block) of headlines, as the feeds come."""
-    t = table(spark, d, "documents").select("doc_id", F.concat_ws("/", "source", "lang").alias("feed"), F.substring("text", 1, 80).alias("headline"))
-    return H.deduplicated(t, ["feed"], "doc_id", "headline")
+    shipped(spark)
+    return H.equivalent_once(_titles(spark, d), ["feed", "day"], "doc_id", "headline")
+
+
+@query("p20_story_dedupe")
+def _(spark, d):
+    shipped(spark)
+    return H.stories_once(_titles(spark, d), ["feed", "day"], "doc_id", "headline")
 
 
 @query("r12_news_relevance", """

@@ -75,14 +75,38 @@ def test_admission_clock():
     assert S.admission_clock([False, *[True] * 10])[-1] == 0.25 and S.admission_clock([False, False, *[True] * 5])[-1] == pytest.approx(0.7)
 
 
-def test_headlines():
-    a, b = "Whale moves 40 million XRP to exchange wallet", "WHALE moves 40 million XRP to an exchange wallet!"
-    assert H.alike(H.tokens(a), H.tokens(b)) and not H.alike(H.tokens("Price up"), H.tokens("Ledger amendment enabled"))
-
-
-def test_greedy_dedupe_keeps_the_first(spark):
-    df = spark.createDataFrame([("f", 2, "the price of XRP rises again today"), ("f", 1, "The price of XRP rises again"), ("g", 3, "The price of XRP rises again"), ("f", 4, None)], "feed string, i long, t string")
-    assert sorted(r["i"] for r in H.deduplicated(df, ["feed"], "i", "t").collect()) == [1, 3]
+def brute_titles(rows, own, alike):
+    """Every title held against every kept one of its block."""
+    kept, out = {}, []
+    for feed, i, t in sorted(rows, key=lambda r: r[1]):
+        x = own(t or "")
+        if x is not None and not any(alike(x, k) for k in kept.get(feed, [])):
+            kept.setdefault(feed, []).append(x)
+            out.append(i)
+    return sorted(out)
+
+
+TITLES = [
+    ("f", 1, "Whale moves 40 million XRP to exchange wallet today"), ("f", 2, "WHALE moves 40 million XRP to an exchange wallet, today! https://x.y/z"), ("f", 3, "Whale never moves 40 million XRP to exchange wallet today"),
+    ("g", 4, "Whale moves 40 million XRP to exchange wallet today"), ("f", 5, None), ("f", 6, None), ("f", 7, ""), ("f", 8, "Ripple CLO says Clarity Act tied to U.S. jobs and economic growth"),
+    ("f", 9, "Passing the CLARITY Act could create over 230,000 US jobs soon enough"), ("f", 10, "Ledger amendment enabled after vote - Example News"), ("f", 11, "Ledger amendment enabled after vo..."), ("f", 12, "Price reaches 230,"),
+    ("f", 13, "Fees fall as ledger closes"), ("f", 14, "Amendment enabled on ledger"),
+]
+
+
+def test_headlines_by_equivalence(spark):
+    df = spark.createDataFrame(TITLES, "feed string, i long, t string")
+    got = sorted(r["i"] for r in H.equivalent_once(df, ["feed"], "i", "t").collect())
+    assert got == brute_titles(TITLES, lambda t: (H.spoken_words(t), bool(H.NEGATION.search(t))), H.equivalent)
+    assert got == [1, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14]
+
+
+def test_headlines_by_story(spark):
+    df = spark.createDataFrame(TITLES, "feed string, i long, t string")
+    got = sorted(r["i"] for r in H.stories_once(df, ["feed"], "i", "t").collect())
+    assert got == brute_titles(TITLES, lambda t: None if H.whole(t) is None else H.story_words(H.whole(t)), H.same_story)
+    # 2 and 3 are told by 1, 9 by 8, 14 by 10; 11 and 12 are cut off
+    assert got == [1, 4, 8, 10, 13]
 
 
 def test_sightings_merge_by_arrival(spark):
