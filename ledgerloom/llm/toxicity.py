@@ -40,7 +40,8 @@ from .decontaminate import words
 from .labelled import fold, logistic, sample, squashed
 
 MOST = 2048
-CHI = 12.0
+#: One feature in about 130,000 passes by chance.
+CHI = 20.0
 STEMS = (4, 5, 6, 7, 8)
 NEAR = 25
 BLOCK = 64
