@@ -15,10 +15,10 @@ def _earliest(value: Column, order: Column) -> Column:
     return F.min_by(value, F.when(value.isNotNull(), order))
 
 
-def merge_sightings(rows: DataFrame, key: str, order: list[str], observer: str, fill: list[str], conflict: list[str], richness: str, payload: str) -> DataFrame:
+def merge_sightings(rows: DataFrame, key: str, order: list[str], observer: str, fill: list[str], conflict: list[str], richness: str, payload: str, union: tuple[str, ...] = ()) -> DataFrame:
     """One row per key: its observers, the number of sightings, gaps filled from the earliest sighting that
     has a value, the columns on which sightings contradict one another, and the payload of the richest
-    sighting (the earliest of several)."""
+    sighting (the earliest of several), and of the ``union`` columns, which are arrays, every value that any sighting has."""
     at = F.struct(*order)
     clash = F.array_compact(F.array(*(F.when(F.min(c) != F.max(c), F.lit(c)) for c in conflict)))
     return rows.groupBy(key).agg(
@@ -26,6 +26,7 @@ def merge_sightings(rows: DataFrame, key: str, order: list[str], observer: str,
         *(_earliest(F.col(c), at).alias(c) for c in fill),
         clash.alias("conflicts"),
         F.min_by(payload, F.struct((-F.col(richness)).alias("_rich"), at.alias("_at"))).alias("payload"),
+        *(F.array_sort(F.array_distinct(F.flatten(F.collect_set(c)))).alias(c) for c in union),
     )
 
 
@@ -71,6 +72,29 @@ def fieldwise_union(sources: list[tuple[str, DataFrame]], key: str, fields: list
     return rows.groupBy(key).agg(*(_earliest(F.col(f), F.struct("_rank", f)).alias(f) for f in fields), F.array_sort(F.collect_set("_source")).alias("sources"))
 
 
+def roster(sources: list[tuple[str, DataFrame]], key: str, fields: list[str], valid: Column, identified: Column, label: Column) -> tuple[DataFrame, DataFrame]:
+    """The union of registries as targets, and the rows rejected from it.
+
+    ``valid``, ``identified`` and ``label`` are read on the merged row. Targets come in a fixed order: identified first, then by label and key. A key
+    that is null or not valid is rejected with what is known of it.
+    """
+    merged = fieldwise_union(sources, key, fields).withColumn("identified", F.coalesce(identified, F.lit(False))).withColumn("label", label)
+    good = F.coalesce(valid, F.lit(False)) & F.col(key).isNotNull()
+    return merged.where(good).orderBy(F.col("identified").desc(), F.col("label"), F.col(key)), merged.where(~good)
+
+
+def usable_name(name: Column, longest: int = 60) -> Column:
+    """A looked-up name, trimmed; null if it is empty, too long or itself an address."""
+    n = F.trim(name)
+    return F.when((n != "") & (F.length(n) <= longest) & ~n.rlike("^r[1-9A-HJ-NP-Za-km-z]{24,34}$"), n)
+
+
+def lookups_due(wanted: DataFrame, misses: DataFrame, key: str, asked: str, now: Column, days: int = 7) -> DataFrame:
+    """Rows to ask about: those not asked in vain within so many days. Of several misses of a key the latest counts; one without a time counts as none."""
+    fresh = misses.groupBy(key).agg(F.max(asked).alias("_asked")).where(now - F.col("_asked") < F.expr(f"interval {days} days"))
+    return wanted.join(fresh.select(key), key, "left_anti")
+
+
 def filled_slots(committed: DataFrame, found: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """Looked-up values fill empty fields only; a disagreement is listed and changes nothing."""
     f = found.select(F.col(key).alias("_key"), *(F.col(x).alias(f"_f_{x}") for x in fields))

@@ -106,10 +106,19 @@ def largest_receipt(rows: DataFrame, receiver: str, amount: str, ledger: str, ts
     return rows.groupBy(receiver).agg(best).select(F.col(receiver).alias("node"), F.col("x.amount").alias("received"), (-F.col("x._l")).alias("at_ledger"), F.col("x.ts").alias("at_ts"))
 
 
-def next_hops(rows: DataFrame, sender: str, receiver: str, amount: str, ledger: str, ts: str, large: float = 1_000_000) -> DataFrame:
-    """What receivers send on after their largest receipt, and whether a large part of it moves."""
-    src = largest_receipt(rows, receiver, amount, ledger, ts)
-    out = src.join(rows, (F.col("node") == F.col(sender)) & (F.col(ledger) > F.col("at_ledger")) & (F.col(ts) >= F.col("at_ts")), "left")
+def next_hops(rows: DataFrame, sender: str, receiver: str, amount: str, ledger: str, ts: str, large: float = 1_000_000, known: DataFrame | None = None, receipt: Column | None = None, payment: Column | None = None) -> DataFrame:
+    """What receivers send on after their largest receipt, and whether a large part of it moves.
+
+    Receivers in ``known`` (a column node) are not traced. ``receipt`` says which rows count as received, ``payment`` which as sent on; what
+    one sends to itself is not sent on.
+    """
+    got = rows if receipt is None else rows.where(receipt)
+    if known is not None:
+        k = known.select(F.col("node").alias("_known")).distinct()
+        got = got.join(k, F.col(receiver) == F.col("_known"), "left_anti")
+    src = largest_receipt(got, receiver, amount, ledger, ts)
+    sent = (rows if payment is None else rows.where(payment)).where(~F.col(sender).eqNullSafe(F.col(receiver)))
+    out = src.join(sent, (F.col("node") == F.col(sender)) & (F.col(ledger) > F.col("at_ledger")) & (F.col(ts) >= F.col("at_ts")), "left")
     return out.groupBy("node", "received", "at_ledger").agg(
         F.count(F.col(sender)).alias("forwards"), F.count_if(F.col(amount) >= large).alias("large_forwards"), F.sum(amount).alias("forwarded")
     ).withColumn("status", F.when(F.col("large_forwards") > 0, "NEXT_HOP_FORWARDING_DETECTED").otherwise("UNPROVEN")).withColumn(
@@ -117,15 +126,29 @@ def next_hops(rows: DataFrame, sender: str, receiver: str, amount: str, ledger:
     )
 
 
-def qualified(rows: DataFrame, known: DataFrame, sender: str, receiver: str, key: str, amount: str, ledger: str, low: float, one: float, two: float, most: int | None = 5) -> DataFrame:
+def qualified(rows: DataFrame, known: DataFrame, sender: str, receiver: str, key: str, amount: str, ledger: str, low: float, one: float, two: float, most: int | None = 5, high: float | None = None,
+              ts: str | None = None, end: Column | None = None, hours: int = 72, observed_via: str | None = None, fingerprint: list[str] | None = None) -> DataFrame:
     """Unknown counterparties of known ones that earn a place: one very large transfer, or two of a large total.
 
-    Exactly one end of a transfer must be known (``known`` has a column node).
+    Exactly one end of a transfer must be known (``known`` has a column node). With ``ts`` and ``end``, transfers count within so many hours up to
+    the end, both ends included. With ``observed_via``, an array, the known end must be among those that saw the transfer. With ``fingerprint``,
+    rows of one key (in any case) are one transfer, and keys whose rows differ in these columns end the query with an error.
     """
     k = known.select("node").distinct()
     r = rows.where(F.col(amount) >= low)
+    if high is not None:
+        r = r.where(F.col(amount) <= high)
+    if ts is not None:
+        r = r.where((F.col(ts) >= end - F.expr(f"interval {hours} hours")) & (F.col(ts) <= end))
+    if fingerprint is not None:
+        own = [c for c in r.columns if c != key]
+        one_row = r.groupBy(F.upper(key).alias(key)).agg(F.min(F.struct(*fingerprint)).alias("_a"), F.max(F.struct(*fingerprint)).alias("_b"), F.min(F.struct(*own)).alias("_x"))
+        clash = F.raise_error(F.concat(F.lit("conflicting rows of "), F.col(key)))
+        r = one_row.select(key, F.when(F.col("_a") == F.col("_b"), F.col("_x")).otherwise(clash).alias("_x")).select(key, "_x.*")
     r = r.join(k.select(F.col("node").alias("_a")), F.col(sender) == F.col("_a"), "left").join(k.select(F.col("node").alias("_b")), F.col(receiver) == F.col("_b"), "left")
     r = r.where(F.col("_a").isNull() != F.col("_b").isNull()).withColumn("candidate", F.when(F.col("_a").isNull(), F.col(sender)).otherwise(F.col(receiver)))
+    if observed_via is not None:
+        r = r.where(F.array_contains(observed_via, F.coalesce("_a", "_b")))
     g = r.groupBy("candidate").agg(F.countDistinct(key).alias("n"), F.countDistinct(ledger).alias("ledgers"), F.sum(amount).alias("total"), F.max(amount).alias("largest"))
     g = g.where((F.col("largest") >= one) | ((F.col("n") >= 2) & (F.col("ledgers") >= 2) & (F.col("total") >= two)))
     g = g.orderBy(F.col("total").desc(), "candidate")

@@ -73,6 +73,28 @@ def next_slot(now: Column) -> Column:
     return (F.floor(now / 7200) + 1) * 7200
 
 
+def overdue(slot: Column, now: Column, hour: int = 3600) -> Column:
+    """The hour that starts with the slot is over."""
+    return F.coalesce(now >= slot + hour, F.lit(False))
+
+
+def run_freshness(wallets: DataFrame, keys: list[str], outcome: str) -> DataFrame:
+    """Counts of a run's wallets by what became of them, and whether its checkpoint may advance: only without a failure or contradiction.
+
+    Outcomes: COMPLETE, RECOVERED, FAILED, CONTRADICTION, ADMITTED, AWAITING, NOT_ATTEMPTED and ABANDONED; recovered and admitted wallets are proven as well. A
+    missing or unknown outcome is a failure.
+    """
+    o = F.col(outcome)
+    n = lambda *names: F.count_if(F.coalesce(o.isin(*names), F.lit(False)))
+    failed = F.count_if(~F.coalesce(o.isin("COMPLETE", "RECOVERED", "CONTRADICTION", "ADMITTED", "AWAITING", "NOT_ATTEMPTED", "ABANDONED"), F.lit(False)))
+    bad = n("CONTRADICTION")
+    return wallets.groupBy(*keys).agg(
+        n("COMPLETE", "RECOVERED", "ADMITTED").alias("proven"), n("RECOVERED").alias("recovered"), failed.alias("unavailable"), bad.alias("contradicted"),
+        n("ADMITTED").alias("admitted"), n("AWAITING").alias("awaiting"), n("NOT_ATTEMPTED").alias("not_attempted"), n("ABANDONED").alias("abandoned"),
+        ((failed == 0) & (bad == 0)).alias("advances"),
+    )
+
+
 def window_proven(original: Column, floor: Column, baseline: Column) -> Column:
     return F.coalesce(original, F.lit(False)) | F.coalesce(floor <= baseline, F.lit(False))
 

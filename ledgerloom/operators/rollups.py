@@ -27,6 +27,26 @@ def two_sided(rows: DataFrame, sender: str, receiver: str, amount: str, keys: tu
     return out.union(into).groupBy(*keys, "account").agg(total("sent").alias("sent"), total("received").alias("received"), F.count(F.lit(1)).alias("legs"))
 
 
+def daily_wallets(rows: DataFrame, flags: DataFrame, day: str, sender: str, receiver: str, amount: str, moved: Column, offer: Column, cancelled: Column) -> DataFrame:
+    """Per day and wallet: received and sent, offers made, cancels confirmed, legs and flags.
+
+    A moved transfer is a leg on both sides; offers and cancels are the sender's. ``flags`` has day, account and ``to`` (may be null): a flag
+    counts once for either of its wallets. Wallets with flags only have no row.
+    """
+    zero, yes = F.lit(0).cast(rows.schema[amount].dataType), lambda c: F.coalesce(c, F.lit(False))
+    m, o, x = yes(moved), yes(offer), yes(cancelled)
+    side = lambda who, s, r, legs, offers, cancels: F.struct(F.col(who).alias("account"), s.alias("sent"), r.alias("received"), legs.cast("int").alias("legs"), offers.cast("int").alias("offers"), cancels.cast("int").alias("cancels"))
+    no = F.lit(False)
+    out = F.when(m | o | x, side(sender, F.when(m, F.col(amount)).otherwise(zero), zero, m, o, x))
+    into = F.when(m, side(receiver, zero, F.col(amount), m, no, no))
+    g = rows.select(F.col(day).alias("day"), F.inline(F.array_compact(F.array(out, into)))).groupBy("day", "account").agg(
+        total("received").alias("received"), total("sent").alias("sent"), F.sum("offers").alias("offers"), F.sum("cancels").alias("cancels"), F.sum("legs").alias("legs"),
+    )
+    marked = flags.select("day", F.explode(F.array_distinct(F.array("account", "to"))).alias("account")).where("account is not null")
+    n = marked.groupBy("day", "account").agg(F.count(F.lit(1)).alias("flags"))
+    return g.join(n, ["day", "account"], "left").withColumn("flags", F.coalesce("flags", F.lit(0)))
+
+
 def sealable(rows: DataFrame, keys: list[str], status: str, covers_start: Column) -> DataFrame:
     """Counts of wallets by proof status, and whether all of them are complete over the whole window.
 

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions import exact as X
 from ..functions import scalars as S
+from ..operators import events as E
 from ..operators import ledgerdata as L
 from ..shipping import shipped
-from ..sources.ledger_json import ASSET, payloads
+from ..sources.ledger_json import ASSET, payloads, payments
 from ..sources.tables import sightings, table, transfers
 from .registry import query
 
@@ -78,17 +79,32 @@ def _(spark, d):
     return o.where("side is not null").groupBy("account", "side").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("f1_event_rows", """
-select tx_hash, upper(sha256(tx_hash)) as hash, 'OfferCreate' as tx_type, case result when 'F' then 'tesSUCCESS' else 'tecKILLED' end as tx_result, 'rC' || sender as from_account, 12 as fee_drops, ledger as sequence, tx_index as transaction_index
-from transfers where tag % 40 <> 0""")
+_EVENTS = """e as (
+  select tx_hash, tag, kind, receiver, tag % 40 <> 0 as there, kind = 'N' and tag % 2 = 0 as finish, upper(sha256(tx_hash)) as hash, ledger, tx_index, result, 'rC' || sender as c, 'rS' || receiver as s, quantity,
+    cast(cast(amount * 100 as bigint) * 10000 as varchar) as claimed, cast(cast(quantity * 100 as bigint) * 10000 as varchar) as got from {rows})"""
+
+
+@query("f1_event_rows", f"""
+with {_EVENTS.format(rows="transfers")}
+select tx_hash, case when there then hash end as hash, ledger as ledger_index, case when there then (ledger * 10 + 946684800) * 1000 end as close_time_ms, case when there then strftime(make_timestamp((ledger * 10 + 946684800) * 1000000), '%Y-%m-%dT%H:%M:%S.000Z') end as close_time_iso,
+  case when not there then null when finish then 'EscrowFinish' when kind = 'N' then 'EscrowCreate' else 'Payment' end as tx_type, case result when 'F' then 'tesSUCCESS' else 'tecPATH_DRY' end as tx_result, true as validated,
+  case when there then c end as from_account, case when there then s end as to_account,
+  case when kind = 'A' and tag % 3 = 2 then cast(got as bigint) when kind = 'A' and there then cast(claimed as bigint) end as amount_drops, case when kind = 'R' and there then cast(quantity as double) end as amount_value,
+  case when kind = 'R' and there then 'USD' else 'XRP' end as currency, case when kind = 'R' and there then 'rI' || receiver end as issuer, case when there and tag % 2 = 0 then tag % 3 end as destination_tag,
+  case when there and tag % 3 <> 0 then 7 end as source_tag, case when not there or tag % 7 >= 4 then 'unknown' when tag % 7 = 0 then 'multisig' else 'single' end as sig_mode, case when not there or tag % 7 >= 4 then 0 when tag % 7 = 0 then 2 else 1 end as signer_count,
+  case when finish then 'rO' || receiver when kind = 'N' and there then c end as escrow_owner, case when finish then s end as escrow_destination, case when finish then cast(claimed as bigint) end as escrow_amount_drops,
+  case when there and tag % 7 <> 6 then 12 end as fee_drops, case when there then ledger end as sequence, cast(null as bigint) as tx_flags, tx_index as transaction_index, 'r1' as roster_version, s as observed_via, 'scan' as scan_id,
+  case when kind = 'A' and tag % 3 = 2 and there and got <> claimed then claimed end as overridden, kind = 'A' and tag % 3 = 2 as delivered_used, case when finish then 2 else 0 end as escrow_nodes, 1 as balance_deltas
+from e""")
 def _(spark, d):
-    p = payloads(spark, d).where("raw_tx is not null")
-    tx = F.from_json("raw_tx", "hash string, TransactionType string, Account string, Fee string, Sequence string")
-    meta = F.from_json("raw_meta", "TransactionResult string, TransactionIndex string")
-    return p.select("tx_hash", tx.alias("t"), meta.alias("m")).select(
-        "tx_hash", "t.hash", F.col("t.TransactionType").alias("tx_type"), F.col("m.TransactionResult").alias("tx_result"), F.col("t.Account").alias("from_account"),
-        S.drops(F.col("t.Fee")).cast("long").alias("fee_drops"), S.integer(F.col("t.Sequence")).alias("sequence"), S.integer(F.col("m.TransactionIndex")).alias("transaction_index"),
-    )
+    p = payments(transfers(spark, d)).withColumns({"run": F.lit("scan"), "at_roster": F.lit("r1")})
+    e = E.event_rows(p, ledger="entry_ledger", observed_via="observed_via", scan_id="run", roster="at_roster")
+    x = F.col("evidence")
+    facts = e.withColumns({
+        **{c: F.col(c).cast("long") for c in ("amount_drops", "escrow_amount_drops", "fee_drops")}, "amount_value": F.col("amount_value").cast("double"),
+        "overridden": x["raw_amount_overridden"], "delivered_used": x["delivered_amount_used"], "escrow_nodes": x["escrow_nodes_seen"], "balance_deltas": F.size(x["balance_deltas"]),
+    })
+    return facts.drop("raw_tx", "raw_meta", "evidence", "run", "at_roster", "entry_ledger")
 
 
 _CLAIM = "cast(cast(amount * 100 as bigint) as varchar)"
@@ -155,16 +171,15 @@ def _(spark, d):
     return g.select("account", "n", (whole - F.round(F.col("n") * F.lit(0.000012), 6)).alias("delta"))
 
 
-@query("f9_participants", """
-select distinct tx_hash, address, role from (
-  select tx_hash, sender as address, 'submitter' as role from sightings union all select tx_hash, receiver, 'destination' from sightings
-  union all select tx_hash, receiver, 'observed_via' from sightings union all select tx_hash, tag, 'issuer' from sightings where kind = 'N')""")
+@query("f9_participants", f"""
+with {_EVENTS.format(rows="sightings")}
+select distinct hash, address, role from (
+  select hash, c as address, 'submitter' as role from e where there union all select hash, s, 'destination' from e where there union all select hash, s, 'observed_via' from e where there
+  union all select hash, case when finish then 'rO' || receiver else c end, 'escrow_owner' from e where kind = 'N' and there union all select hash, s, 'escrow_destination' from e where finish and there
+  union all select hash, 'rI' || receiver, 'issuer' from e where kind = 'R' and there
+  union all select hash, unnest(['rA' || (tag % 5), 'rB' || (tag % 5)]), 'signer' from e where tag % 7 = 0 and there)""")
 def _(spark, d):
-    roles = F.array(
-        F.struct(F.col("sender").alias("address"), F.lit("submitter").alias("role")), F.struct(F.col("receiver").alias("address"), F.lit("destination").alias("role")),
-        F.struct(F.col("receiver").alias("address"), F.lit("observed_via").alias("role")), F.struct(F.when(F.col("kind") == "N", F.col("tag")).alias("address"), F.lit("issuer").alias("role")),
-    )
-    return sightings(spark, d).select("tx_hash", F.inline(roles)).where("address is not null").dropDuplicates(["tx_hash", "address", "role"])
+    return E.participants(E.event_rows(payments(sightings(spark, d)), observed_via="observed_via"))
 
 
 @query("f10_exact_sum", "select tx_hash, cast(amount + quantity as double) as total from transfers")

@@ -140,28 +140,36 @@ with known as (select s_suppkey as node from supplier where s_suppkey % 7 = 0),
 r as (
   select *, case when sender in (select node from known) then receiver else sender end as candidate
   from transfers where amount >= 20000 and (sender in (select node from known)) <> (receiver in (select node from known))
+    and ts >= timestamp '1998-06-01' - interval 30000 hours and ts <= timestamp '1998-06-01' and (tag % 5 <> 0 or (sender in (select node from known)) = (tag % 2 = 0))
 )
 select candidate, count(distinct tx_hash) as n, count(distinct ledger) as ledgers, cast(sum(amount) as double) as total, cast(max(amount) as double) as largest from r
 group by 1 having max(amount) >= 104000 or (count(distinct tx_hash) >= 2 and count(distinct ledger) >= 2 and sum(amount) >= 400000)
 order by sum(amount) desc, candidate limit 5""")
 def _(spark, d):
     known = table(spark, d, "supplier").where("s_suppkey % 7 = 0").select(F.col("s_suppkey").alias("node"))
-    g = P.qualified(transfers(spark, d), known, "sender", "receiver", "tx_hash", "amount", "ledger", 20000, 104000, 400000)
+    # a fifth of the transfers was seen from one side only
+    seen = F.when(F.col("tag") % 5 != 0, F.array("sender", "receiver")).otherwise(F.array(F.when(F.col("tag") % 2 == 0, F.col("sender")).otherwise(F.col("receiver"))))
+    end = F.lit("1998-06-01").cast("timestamp_ntz")
+    t = transfers(spark, d, ["tx_hash", "sender", "receiver", "amount", "ledger", "ts", "tag"], until="1998-06-01").withColumn("seen", seen)
+    g = P.qualified(t, known, "sender", "receiver", "tx_hash", "amount", "ledger", 20000, 104000, 400000, high=1e11, ts="ts", end=end, hours=30000, observed_via="seen", fingerprint=["sender", "receiver", "amount", "ledger", "ts"])
     return g.withColumn("total", F.col("total").cast("double")).withColumn("largest", F.col("largest").cast("double"))
 
 
 @query("p17_next_hop", """
 with src as (
   select receiver as node, amount as received, ledger as at_ledger, ts as at_ts
-  from (select *, row_number() over (partition by receiver order by amount desc, ledger, ts desc) as rn from transfers) where rn = 1
+  from (select *, row_number() over (partition by receiver order by amount desc, ledger, ts desc) as rn from transfers
+    where result = 'F' and kind <> 'R' and receiver not in (select s_suppkey from supplier where s_suppkey % 7 = 0)) where rn = 1
 )
 select node, cast(received as double) as received, at_ledger, count(sender) as forwards, count(*) filter (amount >= 50000) as large_forwards,
   cast(sum(amount) as double) as forwarded,
   case when count(*) filter (amount >= 50000) > 0 then 'NEXT_HOP_FORWARDING_DETECTED' else 'UNPROVEN' end as status,
   case when count(*) filter (amount >= 50000) > 0 then 'HIGH' else 'LOW' end as confidence
-from src left join transfers on sender = node and ledger > at_ledger and ts >= at_ts group by node, received, at_ledger""")
+from src left join (select * from transfers where result = 'F' and kind = 'A' and sender <> receiver) on sender = node and ledger > at_ledger and ts >= at_ts group by node, received, at_ledger""")
 def _(spark, d):
-    g = P.next_hops(transfers(spark, d), "sender", "receiver", "amount", "ledger", "ts", 50000)
+    known = table(spark, d, "supplier").where("s_suppkey % 7 = 0").select(F.col("s_suppkey").alias("node"))
+    ok = F.col("result") == "F"
+    g = P.next_hops(transfers(spark, d), "sender", "receiver", "amount", "ledger", "ts", 50000, known, ok & (F.col("kind") != "R"), ok & (F.col("kind") == "A"))
     return g.withColumn("received", F.col("received").cast("double")).withColumn("forwarded", F.col("forwarded").cast("double"))
 
 

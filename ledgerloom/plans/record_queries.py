@@ -74,11 +74,12 @@ def _(spark, d):
 
 
 @query("s15_manifest", """
-select 'day=' || strftime(ts, '%Y-%m-%d') as day, count(*) as rows, min(ledger) as first_ledger, max(ledger) as last_ledger from transfers group by 1""")
+select 'day=' || strftime(ts, '%Y-%m-%d') as day, count(*) as rows, min(ledger) as first_ledger, max(ledger) as last_ledger, true as hashed from transfers group by 1""")
 def _(spark, d):
     at, schema = _written(spark, d)
-    m = shards.manifest(spark.read.schema(schema).parquet(at), "ledger", "ts")
-    return m.groupBy(F.split("file", "/")[0].alias("day")).agg(F.sum("rows").alias("rows"), F.min("first_ledger").alias("first_ledger"), F.max("last_ledger").alias("last_ledger"))
+    m = shards.manifest_entries(spark, at, spark.read.schema(schema).parquet(at), "ledger", "ts")
+    hashed = F.bool_and((F.length("sha256") == 64) & (F.col("bytes") > 0)).alias("hashed")
+    return m.groupBy(F.split("file", "/")[0].alias("day")).agg(F.sum("rows").alias("rows"), F.min("first_ledger").alias("first_ledger"), F.max("last_ledger").alias("last_ledger"), hashed)
 
 
 @query("r1_export_verifier", """
@@ -132,11 +133,17 @@ def _(spark, d):
 
 
 @query("r6_identity_merge", """
-select c_custkey as k, coalesce(case when c_custkey % 2 = 0 then c_name end, s_name) as name, case when c_custkey % 2 = 0 and s_name <> c_name then 'name' else '' end as conflicts from customer left join supplier on s_suppkey = c_custkey""", views=False)
+with n as (select s_suppkey as k, case when s_suppkey % 5 <> 0 then s_name end as found from supplier where not (s_suppkey % 4 = 0 and s_suppkey % 3 > 0))
+select c_custkey as k, coalesce(case when c_custkey % 2 = 0 then c_name end, found) as name, case when c_custkey % 2 = 0 and found <> c_name then 'name' else '' end as conflicts from customer left join n on n.k = c_custkey""", views=False)
 def _(spark, d):
     c = table(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_name")).alias("name"))
-    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("name"))
-    return M.filled_slots(c, s, "k", ["name"]).withColumn("conflicts", F.array_join("conflicts", ","))
+    k, now = F.col("k"), F.lit("2024-01-31").cast("timestamp_ntz")
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), "s_name")
+    # asked in vain six or eight days ago
+    misses = s.where("k % 4 = 0").select("k", F.when(k % 3 > 0, F.lit("2024-01-25")).otherwise(F.lit("2024-01-23")).cast("timestamp_ntz").alias("asked"))
+    answer = F.when(k % 10 == 0, "r" + "p" * 30).when(k % 5 == 0, F.repeat("s_name", 4)).otherwise(F.concat(F.lit(" "), "s_name"))
+    found = M.lookups_due(s, misses, "k", "asked", now).select("k", M.usable_name(answer).alias("name"))
+    return M.filled_slots(c, found, "k", ["name"]).withColumn("conflicts", F.array_join("conflicts", ","))
 
 
 @query("r7_name_type", "select s_suppkey, case when s_suppkey % 3 = 0 then 'RIPPLE' when s_suppkey % 3 = 1 then 'EXCH' else 'HVT' end as type from supplier", views=False)
@@ -261,9 +268,10 @@ def _(spark, d):
     return R.budget(o, s, "o_orderkey").groupBy("day").agg(F.sum("counts").cast("double").alias("counts"), F.count_if("breach").alias("breaches"))
 
 
-@query("r24_next_slot", "select event_id, (cast(floor(epoch(ts) / 7200) as bigint) + 1) * 7200 as slot from events", views=False)
+@query("r24_next_slot", "select event_id, (cast(floor(epoch(ts) / 7200) as bigint) + 1) * 7200 as slot, 1705276800 >= (cast(floor(epoch(ts) / 7200) as bigint) + 1) * 7200 + 3600 as overdue from events", views=False)
 def _(spark, d):
-    return table(spark, d, "events").select("event_id", R.next_slot(F.unix_timestamp("ts")).alias("slot"))
+    slot = R.next_slot(F.unix_timestamp("ts"))
+    return table(spark, d, "events").select("event_id", slot.alias("slot"), R.overdue(slot, F.lit(1_705_276_800)).alias("overdue"))
 
 
 @query("r25_window_proven", "select o_orderkey, o_orderstatus = 'F' or (o_orderkey % 4 > 0 and o_custkey <= 700) as proven from orders", views=False)
@@ -329,12 +337,17 @@ def _(spark, d):
 
 
 @query("r33_run_freshness", """
-select o_orderpriority as run, count(*) filter (o_orderstatus = 'F') as proven, count(*) filter (o_orderstatus = 'O') as awaiting, count(*) filter (o_orderstatus = 'P' and o_orderpriority in ('1-URGENT', '3-MEDIUM')) as contradicted,
-  count(*) filter (o_orderstatus = 'P' and o_orderpriority in ('1-URGENT', '3-MEDIUM')) = 0 as advances from orders group by 1""", views=False)
-def _(spark, d):
-    s, bad = F.col("o_orderstatus"), (F.col("o_orderstatus") == "P") & F.col("o_orderpriority").isin("1-URGENT", "3-MEDIUM")
-    g = table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("run"))
-    return g.agg(F.count_if(s == "F").alias("proven"), F.count_if(s == "O").alias("awaiting"), F.count_if(bad).alias("contradicted"), (F.count_if(bad) == 0).alias("advances"))
+with o as (select o_orderpriority as run, case when o_orderstatus = 'P' and o_orderpriority in ('1-URGENT', '3-MEDIUM') then 'CONTRADICTION' when o_orderstatus = 'P' then 'ABANDONED' when o_orderpriority = '5-LOW' and o_orderkey % 7 = 0 then 'LOST'
+  when o_orderstatus = 'O' then (case when o_orderkey % 2 = 0 then 'AWAITING' else 'NOT_ATTEMPTED' end) when o_orderkey % 5 = 0 then 'RECOVERED' when o_orderkey % 5 = 1 then 'ADMITTED' else 'COMPLETE' end as outcome from orders)
+select run, count(*) filter (outcome in ('COMPLETE', 'RECOVERED', 'ADMITTED')) as proven, count(*) filter (outcome = 'RECOVERED') as recovered, count(*) filter (outcome = 'LOST') as unavailable, count(*) filter (outcome = 'CONTRADICTION') as contradicted,
+  count(*) filter (outcome = 'ADMITTED') as admitted, count(*) filter (outcome = 'AWAITING') as awaiting, count(*) filter (outcome = 'NOT_ATTEMPTED') as not_attempted, count(*) filter (outcome = 'ABANDONED') as abandoned, count(*) filter (outcome in ('LOST', 'CONTRADICTION')) = 0 as advances from o group by 1""", views=False)
+def _(spark, d):
+    s, run, k = F.col("o_orderstatus"), F.col("o_orderpriority"), F.col("o_orderkey")
+    outcome = (
+        F.when((s == "P") & run.isin("1-URGENT", "3-MEDIUM"), "CONTRADICTION").when(s == "P", "ABANDONED").when((run == "5-LOW") & (k % 7 == 0), "LOST")
+        .when(s == "O", F.when(k % 2 == 0, "AWAITING").otherwise("NOT_ATTEMPTED")).when(k % 5 == 0, "RECOVERED").when(k % 5 == 1, "ADMITTED").otherwise("COMPLETE")
+    )
+    return R.run_freshness(table(spark, d, "orders").select(run.alias("run"), outcome.alias("outcome")), ["run"], "outcome")
 
 
 @query("r34_archive_write", """

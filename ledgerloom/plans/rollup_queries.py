@@ -18,12 +18,16 @@ with s as (select *, case when tag % 3 = 0 then tag end as gap from sightings)
 select tx_hash, count(*) as sightings, array_to_string(list_sort(list(distinct receiver)), ',') as observers,
   first(gap {_ORDER}) filter (gap is not null) as gap, first(kind {_ORDER}) as kind,
   concat_ws(',', case when min(amount) <> max(amount) then 'amount' end, case when min(kind) <> max(kind) then 'kind' end, case when min(ts) <> max(ts) then 'ts' end) as conflicts,
-  first(tag order by quantity desc, ts, receiver, tag, amount, quantity, discount, fee, kind, result) as payload
+  first(tag order by quantity desc, ts, receiver, tag, amount, quantity, discount, fee, kind, result) as payload,
+  array_to_string(list_sort(list_distinct(flatten(list(case when tag % 2 = 0 then ['s' || (tag % 7), 's' || tx_index] else [] end)))), ',') as signers
 from s group by 1""")
 def _(spark, d):
-    s = sightings(spark, d).withColumn("gap", F.when(F.col("tag") % 3 == 0, F.col("tag")))
-    m = M.merge_sightings(s, "tx_hash", list(ARRIVAL), "receiver", ["gap", "kind"], ["amount", "kind", "ts"], "quantity", "tag")
-    return m.withColumn("observers", F.array_join(F.col("observers").cast("array<string>"), ",")).withColumn("conflicts", F.array_join("conflicts", ","))
+    signer = lambda c: F.concat(F.lit("s"), c.cast("string"))
+    signers = F.when(F.col("tag") % 2 == 0, F.array(signer(F.col("tag") % 7), signer(F.col("tx_index")))).otherwise(F.array().cast("array<string>"))
+    s = sightings(spark, d).withColumn("gap", F.when(F.col("tag") % 3 == 0, F.col("tag"))).withColumn("signers", signers)
+    m = M.merge_sightings(s, "tx_hash", list(ARRIVAL), "receiver", ["gap", "kind"], ["amount", "kind", "ts"], "quantity", "tag", ("signers",))
+    lists = {c: F.array_join(F.col(c).cast("array<string>"), ",") for c in ("observers", "conflicts", "signers")}
+    return m.withColumns(lists)
 
 
 @query("a2_dedupe_by_hash", "select tx_hash, sender, receiver, cast(amount as double) as amount, tag from transfers")
@@ -106,12 +110,17 @@ def _(spark, d):
 
 
 @query("a9_daily_wallet_totals", """
-select day, account, cast(sum(sent) as double) as sent, cast(sum(received) as double) as received, count(*) as legs from (
-  select cast(ts as date) as day, sender as account, amount as sent, 0.00 as received from transfers where kind = 'A'
-  union all select cast(ts as date), receiver, 0.00, amount from transfers where kind = 'A') group by 1, 2""")
+with w as (
+  select cast(ts as date) as day, sender as account, 0.00 as received, case when kind = 'A' then amount else 0 end as sent, (kind = 'R')::int as offers, (kind = 'R' and result = 'F')::int as cancels, (kind = 'A')::int as legs from transfers where kind in ('A', 'R')
+  union all select cast(ts as date), receiver, amount, 0, 0, 0, 1 from transfers where kind = 'A'),
+f as (select day, account, count(*) as flags from (select cast(ts as date) as day, sender as account from transfers where amount >= 90000 union all select cast(ts as date), receiver from transfers where amount >= 90000 and kind = 'A' and receiver <> sender) group by 1, 2),
+g as (select day, account, cast(sum(received) as double) as received, cast(sum(sent) as double) as sent, sum(offers)::bigint as offers, sum(cancels)::bigint as cancels, sum(legs)::bigint as legs from w group by 1, 2)
+select g.*, coalesce(flags, 0) as flags from g left join f using (day, account)""")
 def _(spark, d):
-    t = transfers(spark, d).where("kind = 'A'").withColumn("day", F.to_date("ts"))
-    return R.two_sided(t, "sender", "receiver", "amount", ("day",))
+    t = transfers(spark, d, ["sender", "receiver", "amount", "ts", "kind", "result"]).withColumn("day", F.to_date("ts"))
+    flags = t.where("amount >= 90000").select("day", F.col("sender").alias("account"), F.when(F.col("kind") == "A", F.col("receiver")).alias("to"))
+    offer = F.col("kind") == "R"
+    return R.daily_wallets(t, flags, "day", "sender", "receiver", "amount", F.col("kind") == "A", offer, offer & (F.col("result") == "F"))
 
 
 @query("a10_run_status_counts", """
@@ -221,14 +230,18 @@ with u as (
   union all select s_suppkey, s_name, null, 1, 'wall' from supplier
   union all select c_custkey, null, c_mktsegment, 2, 'registry' from customer where c_custkey % 3 = 0)
 select address, first(name order by rank) filter (name is not null) as name, first(segment order by rank) filter (segment is not null) as segment,
-  array_to_string(list_sort(list(distinct source)), ',') as sources from u group by 1""", views=False)
+  array_to_string(list_sort(list(distinct source)), ',') as sources, coalesce(bool_or(segment is not null), false) as identified, coalesce(first(name order by rank) filter (name is not null), cast(address as varchar)) as label,
+  case when address % 11 = 0 then 'REJECTED' else 'TARGET' end as state from u group by 1""", views=False)
 def _(spark, d):
     c, s, none = table(spark, d, "customer"), table(spark, d, "supplier"), F.lit(None).cast("string")
     report = c.where("c_acctbal > 0").select(F.col("c_custkey").alias("address"), F.col("c_name").alias("name"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_mktsegment")).alias("segment"))
     wall = s.select(F.col("s_suppkey").alias("address"), F.col("s_name").alias("name"), none.alias("segment"))
     registry = c.where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("address"), none.alias("name"), F.col("c_mktsegment").alias("segment"))
-    m = M.fieldwise_union([("report", report), ("wall", wall), ("registry", registry)], "address", ["name", "segment"])
-    return m.withColumn("sources", F.array_join("sources", ","))
+    sources = [("report", report), ("wall", wall), ("registry", registry)]
+    label = F.coalesce("name", F.col("address").cast("string"))
+    targets, rejected = M.roster(sources, "address", ["name", "segment"], F.col("address") % 11 != 0, F.col("segment").isNotNull(), label)
+    both = targets.withColumn("state", F.lit("TARGET")).unionByName(rejected.withColumn("state", F.lit("REJECTED")))
+    return both.withColumn("sources", F.array_join("sources", ","))
 
 
 @query("a27_storage_inventory", """

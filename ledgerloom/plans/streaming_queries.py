@@ -6,6 +6,8 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..operators import journal as J
+from ..shipping import shipped
 from ..sources.tables import activity, table, transfers
 from ..streaming import flows as S
 from .registry import query
@@ -93,12 +95,48 @@ def _(spark, d):
 
 
 @query("t10_resumable_journal", """
-with s as (select o_custkey as wallet, o_orderpriority as run, min(o_orderkey) as lo, max(o_orderkey) as hi, count(*) as rows, bool_or(o_orderstatus = 'P') as bad from orders group by 1, 2)
-select wallet, min(lo) as lo, max(hi) as hi, sum(rows)::bigint as rows, bool_or(bad) as contradicted, count(*) as segments from s group by 1""", views=False)
+with l as (select o_custkey as wallet, o_orderkey as pos, o_orderkey - o_orderkey % 50 as lo, case when o_orderkey % 9 = 0 then o_orderkey - 400 when o_orderkey % 31 > 0 then o_orderkey end as hi, o_orderkey % 6 as rows, o_orderstatus = 'P' as bad, (select max(o_orderkey) - 3000 from orders) as anchor from orders),
+b as (select *, max(case when hi <= anchor then hi end) over (partition by wallet order by pos rows between unbounded preceding and 1 preceding) as before from l),
+j as (select *, case when hi is null or hi > anchor then 'WRONG_ANCHOR' when before >= anchor then 'ALREADY_RECORDED' when hi <= before then 'NOT_ADVANCED' end as refused from b)
+select wallet, coalesce(refused, 'MERGED') as state, min(case when refused is null then lo end) as lo, max(case when refused is null then hi end) as hi, coalesce(sum(rows) filter (refused is null), 0)::bigint as rows,
+  case when refused is null then bool_or(bad) end as contradicted, count(*) as legs from j group by 1, 2, refused""", views=False)
 def _(spark, d):
-    o = table(spark, d, "orders")
-    s = o.groupBy(F.col("o_custkey").alias("wallet"), "o_orderpriority").agg(F.min("o_orderkey").alias("lo"), F.max("o_orderkey").alias("hi"), F.count(F.lit(1)).alias("rows"), F.bool_or(F.col("o_orderstatus") == "P").alias("bad"))
-    return s.groupBy("wallet").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("rows").alias("rows"), F.bool_or("bad").alias("contradicted"), F.count(F.lit(1)).alias("segments"))
+    """Legs come as a stream, twenty of whose batches might be one file each; each batch reads the journal the one before left, so a batch that comes again writes what it wrote."""
+    at, k = folder(spark), F.col("o_orderkey")
+    anchor = table(spark, d, "orders").agg(F.max("o_orderkey")).first()[0]
+    anchor = None if anchor is None else anchor - 3000
+    rows = S.stream_table(spark, f"{d}/orders.parquet*", table(spark, d, "orders").schema, 1).select(
+        F.col("o_custkey").alias("wallet"), k.alias("at"), (k - k % 50).alias("proven_from"), F.when(k % 9 == 0, k - 400).when(k % 31 > 0, k).alias("proven_through"), (k % 6).alias("rows"),
+        F.when(F.col("o_orderstatus") == "P", "CONTRADICTION").otherwise("PROVEN").alias("reconciliation"),
+    )
+
+    def step(df, n):
+        journal = spark.read.parquet(f"{at}/journal/{n - 1}") if n else None
+        legs = J.judged(df, journal, anchor or 0, "at")
+        legs.where("refused is not null").write.mode("overwrite").parquet(f"{at}/refused/batch={n}")
+        J.merged(journal, legs.where("refused is null")).write.mode("overwrite").parquet(f"{at}/journal/{n}")
+        spark.range(1).write.mode("overwrite").parquet(f"{at}/done/batch={n}")
+
+    S.run_available(rows, f"{at}/state", step)
+    last = spark.read.parquet(f"{at}/done").agg(F.max("batch")).first()[0]
+    done = spark.read.parquet(f"{at}/journal/{last}").select(
+        "wallet", F.lit("MERGED").alias("state"), F.col("proven_from").alias("lo"), F.col("proven_through").alias("hi"), "rows", (F.col("reconciliation") == "CONTRADICTION").alias("contradicted"), F.col("legs").cast("long").alias("legs")
+    )
+    refused = spark.read.parquet(f"{at}/refused").groupBy("wallet", F.col("refused").alias("state")).agg(F.count(F.lit(1)).alias("legs"))
+    none = F.lit(None)
+    return done.unionByName(refused.select("wallet", "state", none.cast("long").alias("lo"), none.cast("long").alias("hi"), F.lit(0).cast("long").alias("rows"), none.cast("boolean").alias("contradicted"), "legs"))
+
+
+@query("t11_admission_clock", """
+with o as (select user_id % 64 as endpoint, list(event_type <> 'error' order by ts, event_id) as oks, count(*) as requests, count(*) filter (event_type = 'error') as refusals from events group by 1),
+s as (select *, list_transform(oks, lambda k: {gap: 250::double, run: 0, ok: k}) as steps from o)
+select endpoint, cast(list_reduce(steps, lambda a, x: case when not x.ok then {gap: least(2000, greatest(1000, a.gap * 2)), run: 0, ok: x.ok} when a.run + 1 < 5 then {gap: a.gap, run: a.run + 1, ok: x.ok}
+  else {gap: greatest(250, floor(a.gap * 0.7::double)), run: 0, ok: x.ok} end, {gap: 250::double, run: 0, ok: true}).gap as bigint) as gap_ms, requests, refusals from s""", views=False)
+def _(spark, d):
+    shipped(spark)
+    rows = lambda r: S.admission_gaps(r.withColumn("endpoint", F.col("user_id") % 64).withColumn("ok", F.col("event_type") != "error"), "endpoint", ["ts", "event_id"], "ok")
+    out = through(spark, d, rows, "update")
+    return out.groupBy("endpoint").agg(F.max_by("gap_ms", "requests").alias("gap_ms"), F.max("requests").alias("requests"), F.max("refusals").alias("refusals"))
 
 
 @query("t_keyed_state", "select user_id, count(*) as seen, max(cast(floor(epoch(ts)) as bigint)) as latest from events group by 1", views=False)

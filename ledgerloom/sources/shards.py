@@ -53,6 +53,11 @@ def file_digests(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.regexp_extract("path", r"(day=[^/]+/[^/]+)$", 1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
+def manifest_entries(spark: SparkSession, path: str, rows: DataFrame, ledger: str, close: str) -> DataFrame:
+    """The manifest of a folder: per file its rows, bytes, sha256 and ranges. A file without rows has a digest and no ranges."""
+    return file_digests(spark, path).join(manifest(rows, ledger, close), "file", "left").withColumn("rows", F.coalesce("rows", F.lit(0)))
+
+
 def verify_files(spark: SparkSession, path: str, listed: DataFrame) -> DataFrame:
     """Files whose digest is not the manifest's, files not listed and files missing: empty if all is well."""
     there = file_digests(spark, path)

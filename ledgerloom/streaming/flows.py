@@ -6,6 +6,7 @@ there and stops, which is how scheduled micro-batches run.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -71,19 +72,44 @@ def gaps(ledgers: DataFrame, ledger: str) -> DataFrame:
     return both.select((F.col(ledger) + 1).alias("missing_from"), (F.col("_next") - 1).alias("missing_to"))
 
 
-def admission_clock(outcomes: list[bool], least: float = 0.25, most: float = 2.0, grow: float = 2.0, shrink: float = 0.7, streak: int = 5) -> list[float]:
-    """The gap before each next request: doubled on a refusal, cut after a streak of successes, within bounds."""
-    gap, run, out = least, 0, []
+def paced(gap: int, streak: int, ok: bool, least: int = 250, most: int = 2000, floor: int = 1000, ease: float = 0.7, streak_to_ease: int = 5) -> tuple[int, int]:
+    """The gap in milliseconds and the streak after one outcome: doubled on a refusal, and then at least ``floor``; eased after a streak."""
+    if not ok:
+        return min(most, max(floor, gap * 2)), 0
+    if streak + 1 < streak_to_ease:
+        return gap, streak + 1
+    return max(least, math.floor(gap * ease)), 0
+
+
+def admission_clock(outcomes: list[bool], least: int = 250) -> list[int]:
+    """The gap before each next request, in milliseconds."""
+    gap, streak, out = least, 0, []
     for ok in outcomes:
-        run = run + 1 if ok else 0
-        if not ok:
-            gap = min(most, gap * grow)
-        elif run == streak:
-            gap, run = max(least, gap * shrink), 0
+        gap, streak = paced(gap, streak, bool(ok), least)
         out.append(gap)
     return out
 
 
+def admission_gaps(rows: DataFrame, key: str, order: list[str], ok: str) -> DataFrame:
+    """The clock of each endpoint as a stream: its gap after every batch, with requests and refusals so far.
+
+    State is four numbers a key. A batch's outcomes of a key are put in order in one task; batches count in the order in which they come, so the
+    number of files a batch bounds what a task holds. A null outcome is a refusal.
+    """
+    schema = f"{key} long, gap_ms long, requests long, refusals long"
+
+    def update(k: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        gap, streak, requests, refusals = state.get if state.exists else (250, 0, 0, 0)
+        for good in pd.concat(list(batches)).sort_values(order)["_ok"]:
+            gap, streak = paced(gap, streak, bool(good))
+            requests, refusals = requests + 1, refusals + (not good)
+        state.update((gap, streak, requests, refusals))
+        yield pd.DataFrame({key: [k[0]], "gap_ms": [gap], "requests": [requests], "refusals": [refusals]})
+
+    keyed = rows.select(F.col(key).cast("long").alias(key), *order, F.coalesce(F.col(ok), F.lit(False)).alias("_ok"))
+    return keyed.groupBy(key).applyInPandasWithState(update, schema, "gap long, streak long, requests long, refusals long", "update", "NoTimeout")
+
+
 def running_counts(rows: DataFrame, key: str, ts: str) -> DataFrame:
     """Custom state per key: rows seen and the latest time, across batches."""
     schema = f"{key} long, seen long, latest long"

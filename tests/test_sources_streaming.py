@@ -71,8 +71,8 @@ def test_gaps_are_named(spark):
 
 
 def test_admission_clock():
-    assert S.admission_clock([False] * 5) == [0.5, 1.0, 2.0, 2.0, 2.0]
-    assert S.admission_clock([False, *[True] * 10])[-1] == 0.25 and S.admission_clock([False, False, *[True] * 5])[-1] == pytest.approx(0.7)
+    assert S.admission_clock([False] * 5) == [1000, 2000, 2000, 2000, 2000]
+    assert S.admission_clock([False, *[True] * 25])[-1] == 250 and S.admission_clock([False, False, *[True] * 5])[-1] == 1400
 
 
 def brute_titles(rows, own, alike):
