@@ -5,7 +5,9 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -14,6 +16,10 @@ from pyspark.sql import types as T
 from ..shipping import shipped
 
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
+#: Bytes of text that a worker works on at a time, and of a batch that Spark sends it; Spark's own limit of a batch.
+PIECE = 1 << 21
+BATCH = str(1 << 23)
+DEFAULT_BATCH = "67108864b"
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -51,20 +57,47 @@ def restored(df: DataFrame, keep: tuple[str, ...] | list[str]) -> DataFrame:
     return df.select(*(F.col(f"_keep_{i}").alias(c) for i, c in enumerate(keep)))
 
 
+def smaller_batches(spark: SparkSession) -> None:
+    """Send texts to Python in batches of at most BATCH bytes, unless the session has its own limit; results don't depend on it.
+
+    A batch stands in the executor's memory outside the heap, and again in its worker's.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, DEFAULT_BATCH) == DEFAULT_BATCH:
+        spark.conf.set(name, BATCH)
+
+
+def pieces(texts: pa.Array, most: int | None = None) -> Iterator[tuple[int, int]]:
+    """(first, rows) of runs of at most ``most`` bytes of text, a run of one row at least. A struct counts by its text."""
+    if pa.types.is_struct(texts.type):
+        texts = texts.field("text")
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64)
+    first = 0
+    while first < len(ends):
+        before = int(ends[first - 1]) if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, before + (most or PIECE), "right")))
+        yield first, last - first
+        first = last
+
+
 def mapped(df: DataFrame, text: str, added: T.StructType, made: Callable[[], Callable[[list], list[pa.Array]]]) -> DataFrame:
     """``df`` without its text column, with columns made from it; the other columns pass through untouched as Arrow.
 
-    ``made`` is called once a task and returns a function from a batch's texts to the arrays of ``added``.
+    ``made`` is called once a task and returns a function from a batch's texts to the arrays of ``added``. It sees texts of
+    PIECE bytes at a time (one text, if that is longer), so what a worker holds does not follow the size of Spark's batches.
     """
     shipped(df.sparkSession)
+    smaller_batches(df.sparkSession)
     schema = T.StructType([f for f in df.schema.fields if f.name != text] + added.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = made()
         for b in batches:
             at = b.schema.get_field_index(text)
-            columns = [b.column(i) for i in range(b.num_columns) if i != at]
-            yield pa.RecordBatch.from_arrays(columns + f(b.column(at).to_pylist()), names=schema.names)
+            for first, rows in pieces(b.column(at)):
+                part = b.slice(first, rows)
+                columns = [part.column(i) for i in range(part.num_columns) if i != at]
+                yield pa.RecordBatch.from_arrays(columns + f(part.column(at).to_pylist()), names=schema.names)
 
     return df.mapInArrow(run, schema)
 

@@ -38,3 +38,15 @@ def test_prefix_sums(spark):
         for _, _, i, x in sorted((r for r in rows if r[0] == key), key=lambda r: (r[1], r[2])):
             s, n = s + x, n + 1
             assert got[i] == (s, n)
+
+
+def test_texts_come_in_pieces_of_bounded_size():
+    import pyarrow as pa
+    from ledgerloom.llm.common import pieces
+
+    texts = pa.array(["a" * 100, None, "", "b" * 5_000, "c" * 10, "ü" * 400, *["d"] * 30])
+    runs = list(pieces(texts, 1_000))
+    assert [first for first, _ in runs] == [0, *[sum(n for _, n in runs[: k + 1]) for k in range(len(runs) - 1)]] and sum(n for _, n in runs) == len(texts)
+    for first, n in runs:
+        assert n == 1 or sum(len((t or "").encode()) + 64 for t in texts[first : first + n].to_pylist()) <= 1_000
+    assert list(pieces(pa.array([], pa.string()))) == []
