@@ -158,3 +158,36 @@ def reconciled(wallets: DataFrame, deltas: DataFrame, key: str, tx: str, ledger:
 def floor_ledger(rows: DataFrame, ledger: str, close: str, moment: Column) -> DataFrame:
     """The last ledger that closed before a moment."""
     return rows.where(F.col(close) < moment).agg(F.max_by(ledger, F.struct(close, ledger)).alias("ledger"), F.max(close).alias("close"))
+
+
+def widened(stored: dict[str, Column], found: dict[str, Column]) -> Column:
+    """A wallet's proof after a further one, as a struct: the proven range only widens, and each of its ends takes the close of the side it comes from.
+
+    Both have from, through, from_close and through_close; ``stored`` may have nulls and has kept_from, kept_through and kept_from_close besides. The kept range
+    grows only if the new one touches or overlaps it; otherwise the new one takes its place, since what lies between was not kept.
+    """
+    s, p = stored, found
+    lo, hi = F.least(s["from"], p["from"]), F.greatest(s["through"], p["through"])
+    touches = F.coalesce((s["kept_through"] >= p["from"] - 1) & (s["kept_from"] <= p["through"] + 1), F.lit(False))
+    kept_lo = F.when(touches, F.least(s["kept_from"], p["from"])).otherwise(p["from"])
+    kept_hi = F.when(touches, F.greatest(s["kept_through"], p["through"])).otherwise(p["through"])
+    side = lambda end, mine, a, b: F.when(end.eqNullSafe(mine), a).otherwise(b)
+    return F.struct(
+        lo.alias("scan_from"), hi.alias("scan_through"), side(lo, s["from"], s["from_close"], p["from_close"]).alias("scan_from_close"), side(hi, s["through"], s["through_close"], p["through_close"]).alias("scan_through_close"),
+        kept_lo.alias("kept_from"), kept_hi.alias("kept_through"), side(kept_lo, s["kept_from"], s["kept_from_close"], p["from_close"]).alias("kept_from_close"),
+    )
+
+
+def edge_range(through: Column, target: Column) -> Column:
+    """What is still to be fetched after a proven range, as a struct; null if it reaches the target."""
+    return F.when(through < target, F.struct((through + 1).alias("fetch_from"), target.alias("fetch_to"), (target - through).alias("missing")))
+
+
+def same_anchor(anchor: Column) -> Column:
+    """Aggregate: all rows have one anchor. The least is the greatest, so no distinct is needed; a null among them is another anchor."""
+    return F.coalesce((F.min(anchor) == F.max(anchor)) & (F.count(anchor) == F.count(F.lit(1))), F.lit(False))
+
+
+def unseen(named: DataFrame, seen: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows that claim what nothing has seen."""
+    return named.join(seen.select(*keys), keys, "left_anti")

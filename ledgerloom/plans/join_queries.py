@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..operators import collection as C
 from ..operators import joins as J
 from ..operators import merge as M
 from ..sources.tables import activity, sightings, table, transfers
@@ -173,6 +174,23 @@ def _(spark, d):
     )
 
 
+@query("s2_cross_checked_scan", """
+with l as (select o_orderkey as ledger, case when o_orderkey % 41 > 0 then 'h' || o_orderkey end as own, 'h' || (o_orderkey - case when o_orderkey % 43 = 0 then 2 else 1 end) as parent, case when o_orderkey % 47 > 0 then 'h' || o_orderkey end as second, o_orderkey % 53 = 0 as header from orders),
+g as (select ledger, count(*) as n, count(distinct tx_index) as u, min(tx_index) as lo, max(tx_index) as hi, bool_or(tag % 59 = 0) as unlisted from transfers group by 1)
+select l.ledger, coalesce(n, 0) as txs, case when l.own is null or second is null then 'LEDGER_UNPROVEN' when header then 'HEADER_MISMATCH' when p.ledger is not null and l.parent is distinct from p.own then 'CHAIN_MISMATCH'
+  when unlisted then 'TRANSACTION_SET_MISMATCH' when n is not null and not (lo = 1 and hi = n and u = n) then 'TRANSACTION_INDEX_GAP' end as problem
+from l left join g using (ledger) left join (select ledger, own from l) p on p.ledger = l.ledger - 1""")
+def _(spark, d):
+    """Orders are ledgers; some answers lack a hash, name another parent or header, or list other transactions."""
+    o = table(spark, d, "orders")
+    h = "concat('h', o_orderkey)"
+    expanded = o.selectExpr("o_orderkey as ledger", f"if(o_orderkey % 41 > 0, {h}, null) as hash", "concat('h', o_orderkey - if(o_orderkey % 43 = 0, 2, 1)) as parent", "o_orderdate as header")
+    listed = o.selectExpr("o_orderkey as ledger", f"if(o_orderkey % 47 > 0, {h}, null) as hash", "if(o_orderkey % 53 = 0, null, o_orderdate) as header")
+    t = transfers(spark, d, ["tx_hash", "ledger", "tx_index", "tag"])
+    rows = t.select("ledger", "tx_hash", (F.col("tx_index") - 1).alias("index"))
+    return C.ledger_scan(expanded, listed, rows, t.where("tag % 59 > 0").select("ledger", "tx_hash"))
+
+
 @query("s3_order_book", """
 with b as (select receiver, kind as side, discount as price, quantity, row_number() over (partition by receiver, kind order by discount, tx_hash) as rn from transfers where kind in ('A', 'R'))
 select receiver, side, count(*) as offers, cast(min(price) as double) as best, cast(sum(quantity) as double) as depth from b where rn <= 200 group by 1, 2""")

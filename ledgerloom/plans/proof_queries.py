@@ -140,17 +140,34 @@ def _(spark, d):
     return table(spark, d, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.min("o_orderkey").alias("scan_from"), F.max("o_orderkey").alias("scan_through"))
 
 
+@query("i8_retained_adjacency", """
+with c as (select c_custkey as k, case when c_custkey % 5 > 0 then 1000 + c_custkey % 300 end as f, case when c_custkey % 5 > 0 then 1400 + c_custkey % 700 end as t, case when c_custkey % 5 > 0 and c_custkey % 4 > 0 then 1300 + c_custkey % 90 end as kf, 1100 + c_custkey % 900 as pf, 2100 + c_custkey % 37 as pt from customer),
+x as (select *, case when kf is not null then t end as kt, coalesce(case when kf is not null then t end >= pf - 1 and kf <= pt + 1, false) as touches from c)
+select k, least(f, pf) as scan_from, greatest(t, pt) as scan_through, case when least(f, pf) is not distinct from f then f * 4 else pf * 4 + 1 end as scan_from_close, case when greatest(t, pt) is not distinct from t then t * 4 else pt * 4 + 1 end as scan_through_close,
+  case when touches then least(kf, pf) else pf end as kept_from, case when touches then greatest(kt, pt) else pt end as kept_through, case when (case when touches then least(kf, pf) else pf end) is not distinct from kf then kf * 4 else pf * 4 + 1 end as kept_from_close from x""", views=False)
+def _(spark, d):
+    w = table(spark, d, "customer").selectExpr(
+        "c_custkey as k", "if(c_custkey % 5 > 0, 1000 + c_custkey % 300, null) as f", "if(c_custkey % 5 > 0, 1400 + c_custkey % 700, null) as t", "if(c_custkey % 5 > 0 and c_custkey % 4 > 0, 1300 + c_custkey % 90, null) as kf",
+        "1100 + c_custkey % 900 as pf", "2100 + c_custkey % 37 as pt",
+    ).withColumn("kt", F.expr("if(kf is not null, t, null)"))
+    c = F.col
+    x = I.widened(
+        {"from": c("f"), "through": c("t"), "from_close": c("f") * 4, "through_close": c("t") * 4, "kept_from": c("kf"), "kept_through": c("kt"), "kept_from_close": c("kf") * 4},
+        {"from": c("pf"), "through": c("pt"), "from_close": c("pf") * 4 + 1, "through_close": c("pt") * 4 + 1},
+    )
+    return w.select("k", x.alias("x")).select("k", "x.*")
+
+
 @query("i9_edge_ranges", """
 select k, scan_through + 1 as fetch_from, 15000 as fetch_to, 15000 - scan_through as missing from (select o_custkey as k, max(o_orderkey) as scan_through from orders group by 1) where scan_through < 15000""", views=False)
 def _(spark, d):
-    m = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.max("o_orderkey").alias("t")).where("t < 15000")
-    return m.select("k", (F.col("t") + 1).alias("fetch_from"), F.lit(15000).alias("fetch_to"), (15000 - F.col("t")).alias("missing"))
+    m = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.max("o_orderkey").alias("t"))
+    return m.select("k", I.edge_range(F.col("t"), F.lit(15000)).alias("x")).where("x is not null").select("k", "x.*")
 
 
 @query("i10_same_anchor", "select o_custkey as k, count(distinct o_orderdate) = 1 as same_anchor from orders group by 1", views=False)
 def _(spark, d):
-    # one anchor means the least is the greatest; no distinct is needed
-    return table(spark, d, "orders").groupBy(F.col("o_custkey").alias("k")).agg((F.min("o_orderdate") == F.max("o_orderdate")).alias("same_anchor"))
+    return table(spark, d, "orders").groupBy(F.col("o_custkey").alias("k")).agg(I.same_anchor(F.col("o_orderdate")).alias("same_anchor"))
 
 
 @query("i11_floor_ledger", "select arg_max(o_orderkey, (o_orderdate, o_orderkey)) as ledger, epoch(max(o_orderdate))::bigint as close from orders where o_orderdate < timestamp '1997-05-05'", views=False)
@@ -188,7 +205,7 @@ def _(spark, d):
 
     named = transfers(spark, d).select("tx_hash", F.col("sender").alias("address")).join(table(spark, d, "supplier").where("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("address")), "address")
     seen = sightings(spark, d).select("tx_hash", F.col("receiver").alias("address"))
-    return named.join(seen, ["tx_hash", "address"], "left_anti").select("tx_hash", "address")
+    return I.unseen(named, seen, ["tx_hash", "address"]).select("tx_hash", "address")
 
 
 _PAIR = "o_orderkey div 2 as chain, 1 + o_orderkey % 2 as version"

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..operators import collection as C
 from ..operators import merge as M
 from ..operators import records as R
 from ..operators import rollups
@@ -84,11 +85,20 @@ def _(spark, d):
 
 @query("r1_export_verifier", """
 with s as (select tx_hash, strftime(ts, '%Y-%m-%d') as day, ts from sightings), n as (select tx_hash, count(*) as n, min(case when ts < timestamp '1995-07-01' then '1995-06-30' else day end) as day from s group by 1)
-select '1995-06-30' as day, 'MISFILED' as problem, count(*) as n from s where ts < timestamp '1995-07-01' and day <> '1995-06-30' union all select day, 'DUPLICATE', count(*) from n where n > 1 group by 1""")
+select '1995-06-30' as day, 'MISFILED' as problem, count(*) as n from s where ts < timestamp '1995-07-01' and day <> '1995-06-30' union all select day, 'DUPLICATE', count(*) from n where n > 1 group by 1
+union all select day, 'ROW_COUNT', 1 from f where dd = 13 union all select day, 'PAYLOADS_EXCEED_EVENTS', payloads - claimed from f where payloads > claimed
+union all select null, 'TOTALS_DIFFER', 1 from f where dd = 13 having count(*) > 0 union all select day, 'DATABASE_DIFFERS', abs(claimed - live) from f where claimed <> live""".replace("), n as (", "), f as (select strftime(ts, '%Y-%m-%d') as day, day(ts) as dd, count(*) + case when day(ts) = 13 then 1 else 0 end as claimed, case when day(ts) = 23 then 0 else count(*) end as live, count(*) filter (tag % 4 <> 0) + case when day(ts) = 17 then 1000 else 0 end as payloads from sightings group by 1, 2), n as (", 1))
 def _(spark, d):
+    """Some days claim a row too many, some have payloads of no event, and one day a month is not in the database."""
     s = sightings(spark, d)
     filed = F.when(F.col("ts") < F.lit("1995-07-01").cast("timestamp_ntz"), "1995-06-30").otherwise(F.date_format("ts", "yyyy-MM-dd"))
-    return shards.verify_export(s.withColumn("day", filed), "tx_hash", "ts")
+    g = s.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day"), F.dayofmonth("ts").alias("dd")).agg(F.count(F.lit(1)).alias("e"), F.count_if(F.col("tag") % 4 != 0).alias("p"))
+    entry = lambda kind, rows, found: F.struct(F.lit(kind).alias("kind"), F.expr(rows).alias("rows"), F.expr(found).alias("found"))
+    pays = "p + if(dd = 17, 1000L, 0L)"
+    files = g.select("day", F.inline(F.array(entry("events", "e + if(dd = 13, 1L, 0L)", "e"), entry("payloads", pays, pays)))).withColumn("file", F.concat("day", F.lit("/"), "kind"))
+    totals = files.groupBy("kind").agg(F.sum("found").alias("rows"))
+    listed = shards.archive_problems(files, totals, g.where("dd <> 23").select("day", F.col("e").alias("n")))
+    return shards.verify_export(s.withColumn("day", filed), "tx_hash", "ts").unionByName(listed)
 
 
 @query("r2_backup_verifier", "select *, (select count(distinct cast(ts as date)) from transfers) as days from (values ('DIGEST_MISMATCH', 1), ('MISSING', 1), ('UNMANIFESTED', 1)) as v(problem, n)")
@@ -259,6 +269,19 @@ def _(spark, d):
     return counts.crossJoin(F.broadcast(stop)).where("stop is null or ledger < stop").select("ledger", "n")
 
 
+@query("r22_budgeted_run", """
+with l as (select o_orderkey as ledger, floor(o_totalprice)::bigint as bytes from orders where o_orderkey >= 1), c as (select ledger, count(*) over w as n, sum(bytes) over w as bytes, sum(bytes) over w - bytes as was, bytes as own from l window w as (order by ledger)),
+x as (select *, case when ledger <> 1 + n - 1 then 'LEDGER_MISSING' when ledger % 1009 = 0 then 'CHAIN_MISMATCH' when own > 900000 then 'OBJECT_SIZE_STOP' when bytes > 200000000 or 2 * (n - 1) >= 2000 then 'RUN_BUDGET_STOP' end as stop from c),
+m as (select min(ledger) as halt, arg_min(stop, ledger) as reason, arg_min(n - 1, ledger) as done from x where stop is not null), e as (select max(ledger) as hi, max(n) as n from x)
+select x.ledger, x.n, cast(x.bytes as bigint) as bytes, 1 + coalesce(done, e.n) as next, hi - coalesce(done, e.n) as remaining, case when 1 + coalesce(done, e.n) <= hi then reason end as reason from x, m, e where halt is null or x.ledger < halt""", views=False)
+def _(spark, d):
+    """Orders are ledgers, two requests each; receipts with the outcome beside them."""
+    o = table(spark, d, "orders").selectExpr("o_orderkey as ledger", "if(o_orderkey % 1009 = 0, 'CHAIN_MISMATCH', null) as problem", "cast(floor(o_totalprice) as bigint) as bytes", "2 as requests", "1 as ms")
+    end = o.agg(F.max("ledger")).first()[0] or 0
+    receipts, outcome = C.collected(o, 1, end, {"object": 900_000, "bytes": 200_000_000, "requests": 2_000})
+    return receipts.select("ledger", "n", "bytes").crossJoin(F.broadcast(outcome.select("next", "remaining", "reason")))  # one row
+
+
 @query("r23_budget_ledger", """
 select o_orderpriority as day, cast(sum(coalesce(case when o_orderkey % 3 = 0 then cast(o_totalprice as decimal(18,2)) * 2 end, cast(o_totalprice as decimal(18,2)))) as double) as counts,
   count(*) filter (o_orderkey % 3 = 0) as breaches from orders where o_totalprice > 1 and o_orderkey % 3 <> 1 group by 1""", views=False)
@@ -315,6 +338,24 @@ def _(spark, d):
     return g.select("k", "pages", R.walk_state(F.col("b"), F.col("e"), F.col("pages"), 10).alias("state"))
 
 
+@query("r29_walked_rows", """
+with r as (select o_custkey as k, case when o_custkey % 7 = 0 then 1 + o_orderkey % 5 when o_custkey % 3 = 0 then 1 + o_orderkey % 2 else 1 end as attempt, cast(2002 - year(o_orderdate) as int) as page, o_orderdate as close, o_orderkey % 11 > 0 as more from orders),
+p as (select k, attempt, page, min(close) as oldest, bool_or(more) as more from r where page <= 6 group by all), e as (select k, attempt, min(page) filter (oldest <= timestamp '1996-06-01' or not more) as stop, max(page) as last from p group by all),
+l as (select k, max(attempt) as attempt, arg_max(stop, attempt) filter (true) as s0 from e group by 1), w as (select l.k, l.attempt, e.stop, e.last from l join e on e.k = l.k and e.attempt = l.attempt),
+z as (select w.*, p.oldest <= timestamp '1996-06-01' as reached from w left join p on p.k = w.k and p.attempt = w.attempt and p.page = w.stop)
+select z.k, z.attempt, coalesce(stop, last) as through_page, case when z.attempt > 4 then 'UNPROVEN' when stop is not null then case when reached then 'BOUNDARY' else 'EXHAUSTED' end when last >= 6 then 'TRUNCATED' else 'RUNNING' end as state,
+  (select count(*) from r where r.k = z.k and r.attempt = z.attempt and r.page <= coalesce(stop, last) and r.close between timestamp '1996-06-01' and timestamp '1998-06-01') as rows from z""", views=False)
+def _(spark, d):
+    """Customers are accounts, years are pages, the newest first; some changed transport once or more."""
+    r = table(spark, d, "orders").selectExpr(
+        "o_custkey as k", "case when o_custkey % 7 = 0 then 1 + o_orderkey % 5 when o_custkey % 3 = 0 then 1 + o_orderkey % 2 else 1 end as attempt", "2002 - year(o_orderdate) as page", "o_orderdate as close", "o_orderkey % 11 > 0 as more"
+    )
+    start, end = (F.lit(t).cast("timestamp_ntz") for t in ("1996-06-01", "1998-06-01"))
+    walks = C.backward_walk(r, ["k"], start, 6)
+    n = C.walked_rows(r, walks, ["k"], start, end).groupBy("k").agg(F.count(F.lit(1)).alias("rows"))
+    return walks.join(n, "k", "left").withColumn("rows", F.coalesce("rows", F.lit(0)))
+
+
 @query("r30_watch_level", """
 select c_custkey as k, case when c_custkey % 5 = 0 then 'WITHHELD_SEVERE' when c_custkey % 5 = 1 then 'WITHHELD_DEGRADED' when c_custkey % 100 >= 75 then 'high' when c_custkey % 100 >= 50 then 'elevated' when c_custkey % 100 >= 25 then 'moderate' else 'low' end as level from customer""", views=False)
 def _(spark, d):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import collection as C
 from ..operators import headlines as H
 from ..operators import series as S
 from ..shipping import shipped
@@ -56,6 +57,19 @@ def _(spark, d):
     return o.agg(F.sum(F.when(own, F.col("amount"))).cast("double").alias("locked"), F.count_if(own).alias("objects"), F.countDistinct(F.when(own, F.col("owner"))).alias("owners"), F.count_if("x").alias("other_assets"))
 
 
+@query("a21_escrow_position_answers", """
+with o as (select sender, case when tag % 10 = 0 then receiver else sender end as owner, ledger, case when kind <> 'N' then amount end as amount from transfers where result = 'O'),
+u as (select ledger, min(owner) as owner from o where owner = sender group by 1), v as (select u.ledger, u.owner, min(amount) as amount from u join o using (ledger, owner) where o.owner = o.sender group by 1, 2)
+select cast(coalesce(sum(amount), 0) as double) as locked, count(amount) as objects, count(distinct case when amount is not null then owner end) as owners, count(*) filter (amount is null) as other_assets,
+  (select count(*) from customer) as asked, (select count(*) from customer where c_custkey % 50 > 0) as answered, (select count(*) = 0 from customer where c_custkey % 50 = 0) as complete from v""")
+def _(spark, d):
+    """Open ledgers are objects, seen by each sender; a tenth name someone else as the owner, and some customers did not answer."""
+    t = transfers(spark, d, ["sender", "receiver", "tag", "ledger", "amount", "kind", "result"]).where("result = 'O'")
+    o = t.selectExpr("sender as asked", "if(tag % 10 = 0, receiver, sender) as owner", "ledger as key", "if(kind <> 'N', amount, null) as amount")
+    asked = table(spark, d, "customer").selectExpr("c_custkey as address", "c_custkey % 50 > 0 as answered")
+    return C.escrow_position(o, asked).withColumn("locked", F.col("locked").cast("double"))
+
+
 _DAYS = """d as (select cast(ts as date) as day, sum(case type when 'purchase' then value when 'click' then -value end) as flow, cast(sum(value) filter (type = 'view') as double) as price,
   cast(coalesce(sum(value) filter (type = 'purchase'), 0) as double) as flow_in, cast(coalesce(sum(value) filter (type = 'click'), 0) as double) as flow_out from activity group by 1)"""
 

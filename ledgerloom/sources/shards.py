@@ -73,6 +73,36 @@ def verify_export(rows: DataFrame, key: str, close: str) -> DataFrame:
     return misfiled.select("day", "problem", "n").unionByName(twice.select("day", "problem", "n"))
 
 
+def manifest_digest(entries: DataFrame) -> DataFrame:
+    """One row: the number of a manifest's entries and a sha256 over them in any order, by sums of their own digests."""
+    line = F.sha2(F.concat_ws("|", *(F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in sorted(entries.columns))).cast("binary"), 256)
+    part = lambda at: F.sum(F.conv(F.substring("_line", at, 15), 16, 10).cast("decimal(38,0)")).cast("string")
+    g = entries.select(line.alias("_line")).agg(F.count(F.lit(1)).alias("entries"), *(part(at).alias(f"_{at}") for at in (1, 16, 31, 46)))
+    return g.select("entries", F.sha2(F.concat_ws("|", "entries", "_1", "_16", "_31", "_46").cast("binary"), 256).alias("sha256"))
+
+
+def archive_problems(files: DataFrame, totals: DataFrame, live: DataFrame) -> DataFrame:
+    """day, problem and n: what an archive's listing contradicts.
+
+    ``files`` has file, day, kind (events, payloads, participants), rows (claimed) and found (counted), ``totals`` has kind and rows, ``live`` day and n, the events of the
+    database. ROW_COUNT counts files with other rows than claimed, PAYLOADS_EXCEED_EVENTS the payloads of a day without an event, TOTALS_DIFFER the kinds whose
+    files do not add up to the total claimed (no day), DATABASE_DIFFERS by how many events a day of archive and database differ.
+    """
+    problem = lambda rows, name, n: rows.select("day", F.lit(name).alias("problem"), n.cast("long").alias("n"))
+    off = files.where(~F.col("rows").eqNullSafe(F.col("found"))).groupBy("day").agg(F.count(F.lit(1)).alias("_n"))
+    of = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("rows"))), F.lit(0))
+    days = files.groupBy("day").agg(of("events").alias("_events"), of("payloads").alias("_payloads"))
+    claimed = totals.select("kind", F.col("rows").alias("_claimed"))
+    sums = files.groupBy("kind").agg(F.sum("rows").alias("_rows")).join(claimed, "kind", "full")
+    unequal = sums.where(F.coalesce("_rows", F.lit(0)) != F.coalesce("_claimed", F.lit(0))).agg(F.count(F.lit(1)).alias("_n")).where("_n > 0").withColumn("day", F.lit(None).cast("string"))
+    both = days.join(live.select("day", F.col("n").alias("_live")), "day", "full")
+    apart = F.abs(F.coalesce("_events", F.lit(0)) - F.coalesce("_live", F.lit(0)))
+    return (
+        problem(off, "ROW_COUNT", F.col("_n")).unionByName(problem(days.where("_payloads > _events"), "PAYLOADS_EXCEED_EVENTS", F.col("_payloads") - F.col("_events")))
+        .unionByName(problem(unequal, "TOTALS_DIFFER", F.col("_n"))).unionByName(problem(both.where(apart > 0), "DATABASE_DIFFERS", apart))
+    )
+
+
 def append_new(spark: SparkSession, path: str, fresh: DataFrame, key: str, compared: list[str]) -> int:
     """Append rows whose key is new; rows that are there already are left out; a contradiction refuses the whole batch."""
     stored = spark.read.parquet(path)
