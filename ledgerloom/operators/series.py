@@ -60,25 +60,32 @@ def running_peak(readings: DataFrame, key: str, at: str, balance: str) -> DataFr
     return readings.withColumn("peak", F.max(balance).over(w.rowsBetween(W.unboundedPreceding, 0))).withColumn("previous", F.lag(balance).over(w))
 
 
-def mode_changes(rows: DataFrame, key: str, order: list[str], mode: str, least: int = 2) -> DataFrame:
-    """Where an account's established signing mode flips.
+#: What a signing mode's state becomes on an observation of single and of multisig, eight more standing for a flip. States: nothing seen, one single, one
+#: multisig, one of each; single, and that with one multisig since; multisig, and that with one single since.
+_AFTER = ((1, 2), (4, 3), (3, 6), (4, 6), (4, 5), (5, 14), (7, 6), (12, 7))
 
-    A mode is established by two observations; it flips when the other mode's cumulative count since the last flip
-    reaches two. The fold carries four numbers per account over its observations in order.
+
+def mode_changes(rows: DataFrame, key: str, order: list[str], mode: str, piece: Column | None = None) -> DataFrame:
+    """key, n, mode and flips: where an account's established signing mode flips.
+
+    A mode (single or multisig; other values and null are counted in n and change nothing) is established by two observations; it flips when
+    the other one's cumulative count since the last flip reaches two. That is an automaton of eight states, so a stretch of observations is a map
+    of states, and maps of stretches follow one another: ``piece``, which must not decrease in the order, cuts an account's life into stretches that are folded in
+    tasks of their own, and only their maps, eight numbers each, meet in one row.
     """
-    seq = F.array_sort(F.collect_list(F.struct(*order, F.col(mode).alias("_m"))))
-    zero = F.struct(F.lit(None).cast("string").alias("mode"), F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(0).alias("flips"))
-
-    def step(s: Column, x: Column) -> Column:
-        a = s["a"] + F.when(x["_m"] == "single", 1).otherwise(0)
-        b = s["b"] + F.when(x["_m"] == "multisig", 1).otherwise(0)
-        now = F.when(s["mode"].isNull(), F.when(a >= least, "single").when(b >= least, "multisig")).when((s["mode"] == "single") & (b >= least), "multisig").when((s["mode"] == "multisig") & (a >= least), "single").otherwise(s["mode"])
-        flipped = s["mode"].isNotNull() & (now != s["mode"])
-        set_ = now.isNotNull() & (s["mode"].isNull() | flipped)
-        return F.struct(now.alias("mode"), F.when(set_, 0).otherwise(a).cast("int").alias("a"), F.when(set_, 0).otherwise(b).cast("int").alias("b"), (s["flips"] + F.when(flipped, 1).otherwise(0)).cast("int").alias("flips"))
-
-    folded = rows.groupBy(key).agg(seq.alias("_s")).withColumn("_f", F.aggregate("_s", zero, step))
-    return folded.select(key, F.size("_s").alias("n"), F.col("_f.mode").alias("mode"), F.col("_f.flips").alias("flips"))
+    after = F.array(*(F.lit(x) for pair in _AFTER for x in pair))
+    move = lambda a, x: F.when(x < 0, a).otherwise(a - a % 8 + F.element_at(after, (a % 8 * 2 + x + 1).cast("int")))
+    code = F.when(F.col(mode) == "single", 0).when(F.col(mode) == "multisig", 1).otherwise(-1)
+    cut = F.lit(0) if piece is None else piece
+    seq = F.transform(F.array_sort(F.collect_list(F.struct(*order, code.alias("_m")))), lambda x: x["_m"])
+    parts = rows.groupBy(key, cut.alias("_p")).agg(seq.alias("_s"))
+    starts = F.array(*(F.lit(i).cast("long") for i in range(8)))
+    maps = F.aggregate("_s", starts, lambda acc, x: F.transform(acc, lambda a: move(a, x).cast("long")))
+    parts = parts.select(key, F.size("_s").alias("_n"), F.struct("_p", maps.alias("_map")).alias("_x"))
+    g = parts.groupBy(key).agg(F.sum("_n").cast("int").alias("n"), F.array_sort(F.collect_list("_x")).alias("_xs"))
+    end = F.aggregate("_xs", F.lit(0).cast("long"), lambda a, p: a - a % 8 + F.element_at(p["_map"], (a % 8 + 1).cast("int")))
+    g = g.select(key, "n", end.alias("_end"))
+    return g.select(key, "n", F.when(F.col("_end") % 8 >= 6, "multisig").when(F.col("_end") % 8 >= 4, "single").alias("mode"), F.floor(F.col("_end") / 8).cast("int").alias("flips"))
 
 
 def escrow_lanes(rows: DataFrame, keys: list[str], kind: str, amount: str, key: str) -> DataFrame:
