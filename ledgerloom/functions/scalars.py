@@ -174,3 +174,8 @@ def watch_level(score: Column, checked: Column, total: Column) -> Column:
     """The verdict on a score; none while the board is not read in full."""
     share = checked / F.greatest(total, F.lit(1))
     return F.when(share < 0.6, "WITHHELD_SEVERE").when(share < 1, "WITHHELD_DEGRADED").when(score >= 75, "high").when(score >= 50, "elevated").when(score >= 25, "moderate").otherwise("low")
+
+
+def direct_payment(currency: Column, sender: Column, receiver: Column, cross_currency: Column) -> Column:
+    """A payment in the native asset from one account to another that did not ask for another currency; null in the first three is no payment, null in the last is no."""
+    return F.coalesce((currency == "XRP") & (sender != receiver), F.lit(False)) & ~F.coalesce(cross_currency, F.lit(False))

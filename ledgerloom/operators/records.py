@@ -125,3 +125,16 @@ def contract_rows(candidates: DataFrame, section: str, weight: str, headline: st
     """The row of the largest narrative weight of each section, ties to the first headline."""
     top = F.min(F.struct((-F.col(weight)).alias("_w"), F.col(headline).alias("_h"))).alias("x")
     return candidates.groupBy(section).agg(top).select(section, F.col("x._h").alias(headline), (-F.col("x._w")).alias(weight))
+
+
+def archive_facts(wallets: DataFrame, keys: list[str], proved: Column, committed: Column) -> DataFrame:
+    """What an archive may state of a run: its target, the proved ones and the rows these committed; what was not measured is null, not zero."""
+    return wallets.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("target"), F.count_if(proved).alias("proved"), F.sum(F.when(proved, committed)).alias("rows_committed"), F.lit(None).cast("long").alias("unmeasured")
+    )
+
+
+def staged_payload(rows: DataFrame, key: str, richness: str, order: list[str], payload: str) -> DataFrame:
+    """The payload of each key's richest row, the first of several in the order. Nothing known of its richness comes last."""
+    best = F.min(F.struct(F.col(richness).isNull().alias("_none"), (-F.col(richness)).alias("_rich"), F.struct(*order).alias("_at"), F.col(payload).alias("_payload"))).alias("x")
+    return rows.groupBy(key).agg(best).select(key, F.col("x._payload").alias("payload"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 
 def total(value: Column | str, where: Column | None = None) -> Column:
@@ -104,3 +105,16 @@ def volume_decision(rows: DataFrame, ledger: str, aggregator: str, plausible: st
 
 def retention(day: Column, cutoff: Column, proof: Column, flagged: Column) -> Column:
     return F.when(proof, "KEEP_PROOF").when(day >= cutoff, "KEEP_RECENT").when(flagged, "KEEP_FLAGGED").otherwise("ARCHIVE_CANDIDATE")
+
+
+def leaders(rows: DataFrame, keys: list[str], order: list[Column], label: str, most: int) -> DataFrame:
+    """The keys and ``leaders``, the labels of each group's first rows in the order, as text. Rows beyond the limit go before the shuffle, so a group may be of any size."""
+    first = rows.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("_n") <= most)
+    listed = F.array_sort(F.collect_list(F.struct("_n", F.col(label).cast("string").alias("_v"))))
+    return first.groupBy(*keys).agg(F.transform(listed, lambda x: x["_v"]).alias("leaders"))
+
+
+def elevated(amount: str, large: float, most_large: int, most_total: float, both: bool = False) -> Column:
+    """Aggregate: so many large amounts, or so much in all; with ``both`` either alone is not enough."""
+    many, much = F.count_if(F.col(amount) >= large) >= most_large, F.sum(amount) >= most_total
+    return (many & much) if both else (many | much)

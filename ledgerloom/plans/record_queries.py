@@ -138,8 +138,8 @@ def _(spark, d):
 @query("r5_archive_facts", """
 select o_orderpriority as run, count(*) as target, count(*) filter (o_orderstatus = 'F') as proved, sum(case when o_orderstatus = 'F' then o_custkey end)::bigint as rows_committed, cast(null as bigint) as unmeasured from orders group by 1""", views=False)
 def _(spark, d):
-    f = F.col("o_orderstatus") == "F"
-    return table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("run")).agg(F.count(F.lit(1)).alias("target"), F.count_if(f).alias("proved"), F.sum(F.when(f, F.col("o_custkey"))).alias("rows_committed"), F.lit(None).cast("long").alias("unmeasured"))
+    o = table(spark, d, "orders").select(F.col("o_orderpriority").alias("run"), "o_orderstatus", "o_custkey")
+    return R.archive_facts(o, ["run"], F.col("o_orderstatus") == "F", F.col("o_custkey"))
 
 
 @query("r6_identity_merge", """
@@ -304,8 +304,7 @@ def _(spark, d):
 
 @query("r26_staged_payload", "select tx_hash, first(tag order by quantity desc, ts, receiver, tag) as payload from sightings group by 1")
 def _(spark, d):
-    best = F.min(F.struct((-F.col("quantity")).alias("q"), "ts", "receiver", "tag")).alias("x")
-    return sightings(spark, d).groupBy("tx_hash").agg(best).select("tx_hash", F.col("x.tag").alias("payload"))
+    return R.staged_payload(sightings(spark, d), "tx_hash", "quantity", ["ts", "receiver", "tag"], "tag")
 
 
 @query("r27_coverage_text", """
@@ -365,7 +364,7 @@ def _(spark, d):
 
 @query("r31_executive_gate", "select cast(ts as date) as day, sum(amount) >= 1000000 and count(*) filter (amount >= 90000) >= 2 as stated from transfers group by 1")
 def _(spark, d):
-    return transfers(spark, d).groupBy(F.to_date("ts").alias("day")).agg(((F.sum("amount") >= 1_000_000) & (F.count_if(F.col("amount") >= 90_000) >= 2)).alias("stated"))
+    return transfers(spark, d).groupBy(F.to_date("ts").alias("day")).agg(rollups.elevated("amount", 90_000, 2, 1_000_000, both=True).alias("stated"))
 
 
 @query("r32_wallet_outcomes", """
@@ -407,7 +406,7 @@ def _(spark, d):
 
 @query("p_elevated", "select cast(ts as date) as day, count(*) filter (amount >= 50000) >= 10 or sum(amount) >= 1000000 as elevated from transfers group by 1")
 def _(spark, d):
-    return transfers(spark, d).groupBy(F.to_date("ts").alias("day")).agg(((F.count_if(F.col("amount") >= 50_000) >= 10) | (F.sum("amount") >= 1_000_000)).alias("elevated"))
+    return transfers(spark, d).groupBy(F.to_date("ts").alias("day")).agg(rollups.elevated("amount", 50_000, 10, 1_000_000).alias("elevated"))
 
 
 @query("p_escrow_not_move", "select o_orderkey, o_orderpriority from orders where lower(regexp_replace(o_orderpriority, '[^A-Za-z]', '', 'g')) not in ('urgent', 'notspecified')", views=False)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import scalars as S
 from ..operators import merge as M
 from ..operators import patterns as P
 from ..operators import rollups as R
@@ -52,6 +53,17 @@ def _(spark, d):
     return R.two_sided(transfers(spark, d).where("sender <> receiver"), "sender", "receiver", "amount")
 
 
+@query("p_direct", """
+select account, cast(sum(sent) as double) as sent, cast(sum(received) as double) as received, count(*) as legs from (
+  select *, kind <> 'R' and sender <> receiver and not coalesce(case when tag % 7 > 0 then tag % 6 = 0 end, false) as direct from transfers) t, lateral (values (sender, amount, 0.00), (receiver, 0.00, amount)) as l(account, sent, received)
+where direct group by 1""")
+def _(spark, d):
+    """Payments in the native asset from one to another; a few asked for another currency, of some it is not known."""
+    t = transfers(spark, d, ["sender", "receiver", "amount", "kind", "tag"])
+    direct = S.direct_payment(F.when(F.col("kind") != "R", "XRP").otherwise("USD"), F.col("sender"), F.col("receiver"), F.expr("if(tag % 7 > 0, tag % 6 = 0, null)"))
+    return R.two_sided(t.where(direct), "sender", "receiver", "amount")
+
+
 @query("a5_status_histogram", "select result as status, count(*) as n from transfers group by 1")
 def _(spark, d):
     return transfers(spark, d).groupBy(F.col("result").alias("status")).agg(F.count(F.lit(1)).alias("n"))
@@ -195,11 +207,10 @@ select type, count(*) as tokens, cast(sum(volume) as double) as volume, cast(min
 from v group by 1""")
 def _(spark, d):
     v = activity(spark, d).groupBy("type", "account").agg(F.sum("value").alias("volume")).where("volume > 0")
-    ranked = v.withColumn("rn", F.expr("row_number() over (partition by type order by volume desc, account)"))
-    return ranked.groupBy("type").agg(
-        F.count(F.lit(1)).alias("tokens"), R.total("volume").alias("volume"), F.min("volume").cast("double").alias("smallest"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("rn") <= 5, F.struct("rn", "account")))), lambda x: x["account"].cast("string")), ",").alias("top5"),
-    ).withColumn("short_sample", F.col("tokens") < 200)
+    totals = v.groupBy("type").agg(F.count(F.lit(1)).alias("tokens"), R.total("volume").alias("volume"), F.min("volume").cast("double").alias("smallest"))
+    top = R.leaders(v, ["type"], [F.col("volume").desc(), F.col("account")], "account", 5)
+    top = top.select(F.col("type").alias("_t"), F.array_join("leaders", ",").alias("top5"))
+    return totals.join(top, F.col("type").eqNullSafe(F.col("_t"))).drop("_t").withColumn("short_sample", F.col("tokens") < 200)
 
 
 @query("a24_adapter_health", """
