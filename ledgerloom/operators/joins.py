@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .running import running_max
+
 #: A dimension is broadcast only where its rows are counted and below this.
 SMALL_ROWS = 100_000
 
@@ -34,18 +38,19 @@ def as_of(states: DataFrame, key: str, at: str, moment: Column, fields: list[str
     return states.where(F.col(at) <= moment).groupBy(key).agg(newest).select(key, *(F.col(f"_x.{f}").alias(f) for f in (at, *fields)))
 
 
-def as_of_each(left: DataFrame, right: DataFrame, key: str, at: str, right_at: str, fields: list[str]) -> DataFrame:
-    """For every left row the latest right row of its key at or before it.
+def as_of_each(left: DataFrame, right: DataFrame, key: str, at: str, right_at: str, fields: list[str], piece: Callable[[Column], Column] | None = None) -> DataFrame:
+    """For every left row the latest right row of its key at or before it; of several at one time that of the largest fields.
 
     Both sides are laid in one line per key and the last right row is carried forward, so the cost is one sort
-    of both instead of a join on the key with all pairs in between.
+    of both instead of a join on the key with all pairs in between. ``piece`` makes of a time the piece of the line it belongs to, such as
+    its day, so that a key of any size is sorted in pieces.
     """
     own = [c for c in left.columns if c != key]
     a = left.select(key, F.col(at).alias("_at"), F.lit(1).alias("_side"), F.struct(*own).alias("_row"), F.lit(None).cast(right.select(F.struct(right_at, *fields).alias("x")).schema["x"].dataType).alias("_r"))
     b = right.select(key, F.col(right_at).alias("_at"), F.lit(0).alias("_side"), F.lit(None).cast(a.schema["_row"].dataType).alias("_row"), F.struct(right_at, *fields).alias("_r"))
-    w = W.partitionBy(key).orderBy("_at", "_side").rowsBetween(W.unboundedPreceding, 0)
-    line = a.unionByName(b).withColumn("_last", F.last("_r", ignorenulls=True).over(w)).where("_side = 1")
-    return line.select(key, *(F.col(f"_row.{c}").alias(c) for c in own), *(F.col(f"_last.{f}").alias(f) for f in (right_at, *fields)))
+    seen = F.when(F.col("_side") == 0, F.struct("_at", "_r"))
+    line = running_max(a.unionByName(b), [key], ["_at", "_side"], seen, "_last", None if piece is None else piece(F.col("_at"))).where("_side = 1")
+    return line.select(key, *(F.col(f"_row.{c}").alias(c) for c in own), *(F.col(f"_last._r.{f}").alias(f) for f in (right_at, *fields)))
 
 
 def newest_per(rows: DataFrame, keys: list[str], version: str) -> DataFrame:

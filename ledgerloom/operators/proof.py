@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
+
+from .running import running_max
 
 #: The earliest ledger that any server still has; fixed value.
 EARLIEST = 32570
@@ -34,13 +35,12 @@ def parse_ranges(expr: Column) -> Column:
     return F.when(raw.isNull(), None).when((raw == "") | (F.lower(raw) == "empty"), none).when(whole & ordered, merged)
 
 
-def merged_ranges(rows: DataFrame, keys: list[str], lo: str, hi: str) -> DataFrame:
-    """Gaps and islands over rows: merged closed ranges per key."""
-    before = W.partitionBy(*keys).orderBy(lo, hi).rowsBetween(W.unboundedPreceding, -1)
-    upto = W.partitionBy(*keys).orderBy(lo, hi).rowsBetween(W.unboundedPreceding, 0)
-    reach = F.max(hi).over(before)
-    marked = rows.withColumn("_new", F.when(reach.isNull() | (F.col(lo) > reach + 1), 1).otherwise(0)).withColumn("_island", F.sum("_new").over(upto))
-    return marked.groupBy(*keys, "_island").agg(F.min(lo).alias("lo"), F.max(hi).alias("hi"), F.count(F.lit(1)).alias("pieces")).drop("_island")
+def merged_ranges(rows: DataFrame, keys: list[str], lo: str, hi: str, piece: Column | None = None) -> DataFrame:
+    """Gaps and islands over rows: merged closed ranges per key. ``piece``, of ``lo`` and not decreasing with it, lets a key be sorted in pieces."""
+    reached = running_max(rows, keys, [lo, hi], F.col(hi), "_reach", piece, before=True)
+    start = F.when(F.col("_reach").isNull() | (F.col(lo) > F.col("_reach") + 1), F.col(lo))
+    islands = running_max(reached.withColumn("_start", start), keys, [lo, hi], F.col("_start"), "_island", piece)
+    return islands.groupBy(*keys, "_island").agg(F.min(lo).alias("lo"), F.max(hi).alias("hi"), F.count(F.lit(1)).alias("pieces")).drop("_island")
 
 
 def capped_end(end: Column, anchor: Column) -> tuple[Column, Column, Column]:

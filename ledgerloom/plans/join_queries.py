@@ -116,7 +116,7 @@ def _(spark, d):
     a = activity(spark, d)
     clicks = a.where("type = 'click'").select("account", "ts", "event_id")
     prices = a.where("type = 'purchase'").select("account", F.col("ts").alias("priced"), F.col("value").alias("last_price"))
-    return J.as_of_each(clicks, prices, "account", "ts", "priced", ["last_price"]).select("event_id", "last_price")
+    return J.as_of_each(clicks, prices, "account", "ts", "priced", ["last_price"], F.to_date).select("event_id", "last_price")
 
 
 @query("j13_newest_per_day", """

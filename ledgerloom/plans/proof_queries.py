@@ -37,7 +37,7 @@ n as (select *, sum(case when reach is null or lo > reach + 1 then 1 else 0 end)
 select k, min(lo) as lo, max(hi) as hi, count(*) as pieces from n group by k, island""")
 def _(spark, d):
     q = transfers(spark, d, ["receiver", "ledger", "tx_index"]).select(F.col("receiver").alias("k"), F.expr("ledger div 10").alias("lo"), F.expr("ledger div 10 + tx_index").alias("hi"))
-    return I.merged_ranges(q, ["k"], "lo", "hi")
+    return I.merged_ranges(q, ["k"], "lo", "hi", F.floor(F.col("lo") / 1000))
 
 
 @query("i2_capped_window", """
