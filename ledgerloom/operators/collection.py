@@ -115,3 +115,12 @@ def escrow_position(objects: DataFrame, asked: DataFrame) -> DataFrame:
         F.coalesce(F.sum("amount"), F.lit(0)).alias("locked"), F.count_if(native).alias("objects"), F.countDistinct(F.when(native, F.col("owner"))).alias("owners"), F.count_if(~native).alias("other_assets"),
     )
     return p.crossJoin(a).withColumn("complete", F.col("answered") == F.col("asked"))  # one row each
+
+
+def book_problem(hash: Column, index: Column, validated: Column, offers: Column, ledger_hash: Column, ledger: Column, limit: int = 200) -> Column:
+    """UNPROVEN_BOOK unless a side of an order book belongs to the ledger validated apart, by hash and number, and has no more offers than were asked for.
+
+    An answer may leave out whether it is validated, but not deny it; a missing hash, number or count of offers proves nothing.
+    """
+    proven = (hash == ledger_hash) & (index == ledger) & (offers <= limit) & F.coalesce(validated, F.lit(True))
+    return F.when(~F.coalesce(proven, F.lit(False)), "UNPROVEN_BOOK")

@@ -200,6 +200,18 @@ def _(spark, d):
     return b.groupBy("receiver", F.col("kind").alias("side")).agg(F.count(F.lit(1)).alias("offers"), F.min("discount").cast("double").alias("best"), F.sum("quantity").cast("double").alias("depth"))
 
 
+@query("s3_proven_books", """
+with b as (select ledger, kind as side, count(*) as offers from transfers where kind in ('A', 'R') group by 1, 2)
+select ledger, side, offers, case when ledger % 29 = 0 or ledger % 31 = 0 or ledger % 37 = 0 or offers > 3 then 'UNPROVEN_BOOK' end as problem from b""")
+def _(spark, d):
+    """Sides of a ledger's book; some answers name another ledger, deny being validated or have no hash."""
+    b = transfers(spark, d, ["ledger", "kind"]).where("kind in ('A', 'R')").groupBy("ledger", F.col("kind").alias("side")).agg(F.count(F.lit(1)).alias("offers"))
+    said = F.expr("case when ledger % 29 = 0 then 'other' when ledger % 37 > 0 then concat('h', ledger) end")
+    validated = F.expr("case when ledger % 31 = 0 then false when ledger % 2 = 0 then true end")
+    problem = C.book_problem(said, F.col("ledger"), validated, F.col("offers"), F.concat(F.lit("h"), "ledger"), F.col("ledger"), 3)
+    return b.withColumn("problem", problem)
+
+
 @query("s4_valid_tickers", """
 select event_id, cast(value as double) as price from activity where value > 0 and value * 0.99 <= value * 1.01 and epoch(timestamp '2024-01-15') - epoch(ts) between -10 and 86400""")
 def _(spark, d):

@@ -115,3 +115,10 @@ def test_manifest_digest(spark):
     d = lambda df: tuple(shards.manifest_digest(df).first())
     assert d(m) == d(m.orderBy(F.col("file").desc()).repartition(2))
     assert d(m) != d(m.fillna(0)) and d(m) != d(m.limit(1)) and d(m)[0] == 2
+
+
+def test_book_problem(spark):
+    rows = [("a", 5, None, 2), ("a", 5, True, 200), ("a", 5, False, 2), ("b", 5, True, 2), ("a", 6, True, 2), ("a", 5, True, 201), (None, 5, True, 2), ("a", None, True, 2), ("a", 5, True, None)]
+    df = spark.createDataFrame(rows, "hash string, at long, validated boolean, offers long")
+    got = [r[0] for r in df.select(C.book_problem(F.col("hash"), F.col("at"), F.col("validated"), F.col("offers"), F.lit("a"), F.lit(5))).collect()]
+    assert got == [None, None, *["UNPROVEN_BOOK"] * 7]
