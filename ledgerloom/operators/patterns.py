@@ -21,16 +21,14 @@ def upper_median(values: Column) -> Column:
 def regular_intervals(rows: DataFrame, keys: list[str], order: list[Column], ts: str, at_least: int = 6, least_gap: float = 10, slack: float = 2, tolerance: float = 0.02) -> DataFrame:
     """Routes whose gaps all lie within ``slack`` seconds or ``tolerance`` of their upper median.
 
-    A route is bounded by what one sender sends one receiver; groups below ``at_least`` go before the
-    gaps are collected.
+    All lie near if the least and the largest do, so no route's gaps are collected: the median is an aggregate over counts of equal gaps.
     """
     w = W.partitionBy(*keys).orderBy(*order)
-    gaps = rows.withColumn("_n", F.count(F.lit(1)).over(W.partitionBy(*keys))).where(F.col("_n") >= at_least)
-    gaps = gaps.withColumn("_gap", F.unix_timestamp(ts) - F.unix_timestamp(F.lag(ts).over(w)))
-    found = gaps.groupBy(*keys).agg(F.collect_list("_gap").alias("g"), F.count(F.lit(1)).alias("n"))
-    found = found.withColumn("mid", upper_median(F.col("g"))).where(F.col("mid") >= least_gap)
-    near = F.forall("g", lambda g: F.abs(g - F.col("mid")) <= F.greatest(F.lit(slack), F.col("mid") * tolerance))
-    return found.where(near).select(*keys, F.col("mid").alias("interval_seconds"), "n")
+    gaps = rows.withColumn("_gap", F.unix_timestamp(ts) - F.unix_timestamp(F.lag(ts).over(w)))
+    upper = F.expr("percentile_disc(0.5) within group (order by _gap desc)").cast("long")  # of two in the middle the larger
+    found = gaps.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("_gap").alias("_lo"), F.max("_gap").alias("_hi"), upper.alias("mid")).where((F.col("n") >= at_least) & (F.col("mid") >= least_gap))
+    near = lambda g: F.abs(F.col(g) - F.col("mid")) <= F.greatest(F.lit(slack), F.col("mid") * tolerance)
+    return found.where(near("_lo") & near("_hi")).select(*keys, F.col("mid").alias("interval_seconds"), "n")
 
 
 def mid_band(rows: DataFrame, amount: str, low: float, high: float) -> DataFrame:
