@@ -36,11 +36,15 @@ def parse_ranges(expr: Column) -> Column:
 
 
 def merged_ranges(rows: DataFrame, keys: list[str], lo: str, hi: str, piece: Column | None = None) -> DataFrame:
-    """Gaps and islands over rows: merged closed ranges per key. ``piece``, of ``lo`` and not decreasing with it, lets a key be sorted in pieces."""
-    reached = running_max(rows, keys, [lo, hi], F.col(hi), "_reach", piece, before=True)
+    """Gaps and islands over rows: merged closed ranges per key. ``piece``, of ``lo`` and not decreasing with it, lets a key be sorted in pieces.
+
+    Equal rows are one with a count, so that the order has no ties: the second pass must see the rows as the first did.
+    """
+    once = rows.groupBy(*keys, lo, hi).agg(F.count(F.lit(1)).alias("_times"))
+    reached = running_max(once, keys, [lo, hi], F.col(hi), "_reach", piece, before=True)
     start = F.when(F.col("_reach").isNull() | (F.col(lo) > F.col("_reach") + 1), F.col(lo))
     islands = running_max(reached.withColumn("_start", start), keys, [lo, hi], F.col("_start"), "_island", piece)
-    return islands.groupBy(*keys, "_island").agg(F.min(lo).alias("lo"), F.max(hi).alias("hi"), F.count(F.lit(1)).alias("pieces")).drop("_island")
+    return islands.groupBy(*keys, "_island").agg(F.min(lo).alias("lo"), F.max(hi).alias("hi"), F.sum("_times").alias("pieces")).drop("_island")
 
 
 def capped_end(end: Column, anchor: Column) -> tuple[Column, Column, Column]:

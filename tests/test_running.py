@@ -2,6 +2,7 @@
 
 import random
 
+from ledgerloom.operators import proof
 from ledgerloom.operators.joins import as_of_each
 from ledgerloom.operators.proof import merged_ranges
 from ledgerloom.operators.running import running_max
@@ -32,6 +33,21 @@ def test_ranges_in_pieces(spark):
         assert sorted(merged_ranges(df, ["k"], "lo", "hi", F.floor(F.col("lo") / width)).collect()) == whole
 
 
+def test_ranges_whatever_the_order_of_ties(spark, monkeypatch):
+    """Each pass gets its rows in an order of its own, as after a merge of spilled files."""
+    passes = []
+
+    def dealt(rows, *a, **k):
+        passes.append(1)
+        return running_max(rows.repartition(1).sortWithinPartitions(F.rand(len(passes))), *a, **k)
+
+    monkeypatch.setattr(proof, "running_max", dealt)
+    df = spark.createDataFrame([(k, lo, lo + 1) for k in range(5) for lo in range(0, 200, 10) for _ in range(4)], "k int, lo long, hi long")
+    for piece in (None, F.floor(F.col("lo") / 30)):
+        got = sorted(tuple(r) for r in merged_ranges(df, ["k"], "lo", "hi", piece).collect())
+        assert got == [(k, lo, lo + 1, 4) for k in range(5) for lo in range(0, 200, 10)]
+
+
 def test_as_of_in_pieces(spark):
     left = [(DICE.randrange(3), DICE.randrange(100), i) for i in range(80)]
     right = [(DICE.randrange(2), DICE.randrange(100), DICE.randrange(9)) for _ in range(40)]
