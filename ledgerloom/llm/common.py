@@ -20,6 +20,8 @@ LOCAL_CHECKPOINTS = "/tmp/checkpoints"
 PIECE = 1 << 21
 BATCH = str(1 << 23)
 DEFAULT_BATCH = "67108864b"
+#: Edges, of two longs, that one task joins to components.
+FEW = 100_000
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -124,16 +126,47 @@ def prefix_sums(df: DataFrame, keys: list[str], bucket: str, order: list[Column]
     return rows.join(pieces, by).select(*df.columns, *((F.col(f"_w_{n}") + F.col(f"_b_{n}")).alias(n) for n in sums))
 
 
+def grouped_by(lead: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
+    """Join the groups of x[i] and y[i]; ``lead`` has the least member of each one's group."""
+    while len(x):
+        low, high = np.minimum(lead[x], lead[y]), np.maximum(lead[x], lead[y])
+        apart = low != high
+        x, y = x[apart], y[apart]
+        np.minimum.at(lead, high[apart], low[apart])
+        while (lead[lead] != lead).any():
+            lead[:] = lead[lead]
+
+
+def _few_components(e: DataFrame) -> DataFrame:
+    """(node, root) of a bounded number of edges (u, v), in one task."""
+    shipped(e.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        u, v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for b in batches:
+            u.append(b["u"].to_numpy())
+            v.append(b["v"].to_numpy())
+        nodes, at = np.unique(np.concatenate(u + v), return_inverse=True)
+        lead = np.arange(len(nodes))
+        grouped_by(lead, *np.split(at, 2))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[lead])], names=["node", "root"])
+
+    return checkpointed(e.select("u", "v").coalesce(1).mapInArrow(run, "node long, root long"))
+
+
 def components(edges: DataFrame, u: str = "u", v: str = "v", most: int = 60) -> DataFrame:
     """Connected components of an edge list of longs: one row (node, root) per node, root the smallest node.
 
     Alternates large-star and small-star contractions, so the edge list never grows, rounds are
     logarithmic in the longest path, and nothing but a checksum reaches the driver. Every round is
-    checkpointed. Self-links and repeats are allowed; an empty list gives no rows.
+    checkpointed; a list of at most ``FEW`` edges is joined by one task instead, as a round is some six shuffles however
+    few its rows are. Self-links and repeats are allowed; an empty list gives no rows.
     """
     e = checkpointed(
         edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).where("u <> v").distinct()
     )
+    if e.count() <= FEW:
+        return _few_components(e)
     mark = None
     for _ in range(most):
         # large-star: neighbours above a node hang on the smallest node around it

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from ledgerloom.llm import common
 from ledgerloom.llm.common import components, prefix_sums
 from pyspark.sql import functions as F
 
@@ -50,3 +51,17 @@ def test_texts_come_in_pieces_of_bounded_size():
     for first, n in runs:
         assert n == 1 or sum(len((t or "").encode()) + 64 for t in texts[first : first + n].to_pylist()) <= 1_000
     assert list(pieces(pa.array([], pa.string()))) == []
+
+
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_components_by_rounds_and_by_one_task(spark, monkeypatch, few):
+    """Few edges make two jobs' shuffles, not those of rounds; either way the roots are the same."""
+    monkeypatch.setattr(common, "FEW", few)
+    rng = random.Random(11)
+    pairs = [(rng.randrange(-300, 300), rng.randrange(-300, 300)) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1060)] + [(5, 5), (-(1 << 63), (1 << 63) - 1)]
+    jobs, checkpointed = [], common.checkpointed
+    monkeypatch.setattr(common, "checkpointed", lambda df: jobs.append(1) or checkpointed(df))
+    got = {r["node"]: r["root"] for r in common.components(spark.createDataFrame(pairs, "u long, v long")).collect()}
+    want = roots([p for p in pairs if p[0] != p[1]])
+    assert got == {n: want.get(n, n) for p in pairs if p[0] != p[1] for n in p}
+    assert (len(jobs) <= 2) == (few > 0)
