@@ -20,8 +20,9 @@ LOCAL_CHECKPOINTS = "/tmp/checkpoints"
 PIECE = 1 << 21
 BATCH = str(1 << 23)
 DEFAULT_BATCH = "67108864b"
-#: Edges, of two longs, that one task joins to components.
-FEW = 100_000
+DEFAULT_SINGLE = "134217728b"
+#: Rows, of some longs, that one task joins and groups, and edges that it joins to components.
+FEW = 250_000
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -46,6 +47,32 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return out
 
 
+def single(df: DataFrame) -> bool:
+    """Whether the checkpointed ``df`` is one partition."""
+    return df._jdf.rdd().getNumPartitions() == 1
+
+
+def short(df: DataFrame) -> DataFrame:
+    """The checkpointed ``df``; in one partition, if it has at most ``FEW`` rows.
+
+    Lists of one partition are joined and grouped with one another without a shuffle, which takes a task and its files
+    for every partition, however few the rows are. Spark shuffles them all the same where it guesses that a side is over
+    ``spark.sql.maxSinglePartitionBytes``, and it guesses the product of both sides for a join. So that limit is lifted, unless the
+    session has its own, and the list is given the number of its rows, which cuts none.
+    """
+    rows = df.count()
+    if rows > FEW:
+        return df
+    name = "spark.sql.maxSinglePartitionBytes"
+    if df.sparkSession.conf.get(name, DEFAULT_SINGLE) == DEFAULT_SINGLE:
+        df.sparkSession.conf.set(name, str(1 << 60))
+    return df.coalesce(1).limit(max(rows, 1))
+
+
+def gathered(df: DataFrame) -> DataFrame:
+    return short(checkpointed(df))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -151,7 +178,7 @@ def _few_components(e: DataFrame) -> DataFrame:
         grouped_by(lead, *np.split(at, 2))
         yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[lead])], names=["node", "root"])
 
-    return checkpointed(e.select("u", "v").coalesce(1).mapInArrow(run, "node long, root long"))
+    return short(checkpointed(e.select("u", "v").coalesce(1).mapInArrow(run, "node long, root long")))
 
 
 def components(edges: DataFrame, u: str = "u", v: str = "v", most: int = 60) -> DataFrame:

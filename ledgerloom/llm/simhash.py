@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed, components, kept_columns, mapped, own
+from .common import checkpointed, components, gathered, kept_columns, mapped, own, single
 
 SHINGLE = 3
 RADIUS = 2
@@ -144,14 +144,15 @@ def one_each(documents: DataFrame, fps: DataFrame, index: DataFrame, roots: Data
     rooted = index.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
     kept = rooted.groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min(F.struct("least", "fp")).alias("k")).select("k.least.doc_id", "k.fp")
     often = fps.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    kept = checkpointed(
+    kept = gathered(
         kept.withColumnRenamed("doc_id", "_id").join(often, F.col("_id").eqNullSafe(F.col("doc_id"))).select("_id", F.col("fp").alias("_fp"), (F.col("n") > 1).alias("_again"))
     )
     same = documents[doc_id].eqNullSafe(F.col("_id"))
-    single = documents.join(kept.where("not _again").select("_id"), same, "left_semi")
-    shared = documents.join(kept.where("_again").select("_id").distinct(), same, "left_semi")
+    small = F.broadcast if single(kept) else (lambda x: x)
+    alone = documents.join(small(kept.where("not _again").select("_id")), same, "left_semi")
+    shared = documents.join(small(kept.where("_again").select("_id").distinct()), same, "left_semi")
     rows = with_fp(shared.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *kept_columns(documents, documents.columns)))
     names = [f"_keep_{i}" for i in range(len(documents.columns))]
-    again = rows.join(kept.where("_again"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("fp") == F.col("_fp")))
+    again = rows.join(small(kept.where("_again")), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("fp") == F.col("_fp")))
     again = again.groupBy("doc_id", "fp").agg(F.min(F.struct(*names)).alias("row"))
-    return single.union(again.select(*(F.col(f"row.{n}").alias(c) for n, c in zip(names, documents.columns, strict=True))))
+    return alone.union(again.select(*(F.col(f"row.{n}").alias(c) for n, c in zip(names, documents.columns, strict=True))))

@@ -65,3 +65,16 @@ def test_components_by_rounds_and_by_one_task(spark, monkeypatch, few):
     want = roots([p for p in pairs if p[0] != p[1]])
     assert got == {n: want.get(n, n) for p in pairs if p[0] != p[1] for n in p}
     assert (len(jobs) <= 2) == (few > 0)
+
+
+@pytest.mark.parametrize("few", [0, 250_000])
+def test_short_lists_are_joined_without_a_shuffle(spark, monkeypatch, few):
+    """Whatever size Spark guesses for the product of lists; no row is lost, and longer lists stay dealt out."""
+    monkeypatch.setattr(common, "FEW", few)
+    a = common.gathered(spark.range(900).selectExpr("id as u", "id % 7 as v").repartition(5, "u"))
+    for _ in range(4):
+        a = common.gathered(a.join(a.select(F.col("u").alias("w")), F.expr("u = w")).select("u", "v"))
+    both = a.join(a.select(F.col("u").alias("w")), F.expr("v = w"), "left").groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    assert ("Exchange hashpartitioning" not in both._jdf.queryExecution().executedPlan().toString()) == (few > 0)
+    assert {r["w"]: r["n"] for r in both.collect()} == {w: sum(i % 7 == w for i in range(900)) for w in range(7)}
+    assert common.gathered(a.where("false")).count() == 0
